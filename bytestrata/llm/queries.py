@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bytestrata.llm import minhash
+from bytestrata.llm import bloom_lm, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(shingle=3, num=85, den=100))
 
 
+def id_fold(folds: int, column: str = "doc_id"):
+    """crc32 of a doc_id's text modulo folds; null for a null id."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents. Rows without an id are not learned from and count as held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.select("doc_id", F.coalesce(id_fold(7) == 2, F.lit(True)).alias("held_out"), "text")
+    return bloom_lm.score_documents(docs, ~F.col("held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}

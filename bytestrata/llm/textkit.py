@@ -76,29 +76,33 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(texts: pa.Array, hashed: bool = True) -> Words:
+def words(texts: pa.Array, hashed: bool = True, fold: bool = True, kinds: np.ndarray | None = None) -> Words:
+    """Words of texts; with ``kinds``, maximal runs of bytes of one non-zero kind instead. fold: A-Z count as a-z."""
     raw, off = raw_bytes(texts)
-    data = LOWER[raw]
-    space = SPACE[data]
-    edge = np.empty(len(data) + 1, bool)
-    edge[0] = edge[-1] = True
-    edge[1:-1] = space[:-1]
+    data = LOWER[raw] if fold else raw
+    kind = ~SPACE[data] if kinds is None else kinds[data]
+    edge = np.ones(len(data) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
     edge[off] = True
-    starts = np.flatnonzero(~space & edge[:-1])
-    edge[:-1] = space
-    edge[off] = True
-    ends = np.flatnonzero(~space & edge[1:]) + 1
+    full = kind != 0
+    starts = np.flatnonzero(full & edge[:-1])
+    ends = np.flatnonzero(full & edge[1:]) + 1
     first = np.searchsorted(starts, off)
+    return Words(data, starts, ends, first, span_hashes(data, starts, ends) if hashed else None)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans in order of their places; equal bytes give equal hashes."""
     hashes = np.empty(len(starts), np.uint64)
     at = 0
-    while hashed and at < len(starts):
+    while at < len(starts):
         base = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, base + SPAN, "right")))
         sums = prefix_sums(data[base : ends[to - 1]])
         s = starts[at:to] - base
         hashes[at:to] = mix((sums[ends[at:to] - base] - sums[s]) * powers(len(sums))[1][s])
         at = to
-    return Words(data, starts, ends, first, hashes)
+    return hashes
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
