@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm import bloom_lm, minhash
+from bytestrata.llm import bloom_lm, language, minhash, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,32 @@ def id_fold(folds: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by a CRF that learns from the rows whose id fold is not 1. A null id counts as not held
+    out and is not learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"), F.coalesce(id_fold(3) != 1, F.lit(False)))
+    return language.identify(docs.select("doc_id", F.coalesce(id_fold(3) == 1, F.lit(False)).alias("held_out"), "text"), model)
+
+
+LABEL_ROWS = 200_000
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, most: int = LABEL_ROWS) -> DataFrame:
+    """docs with a column quality, null where not labelled. A bounded sample of at most about ``most`` labelled ids is
+    broadcast; of conflicting labels the lower counts."""
+    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
+    share = min(1.0, most / max(1, labels.count()))
+    few = one.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most)
+    return docs.join(F.broadcast(few), docs["doc_id"] == F.col("_id"), "left").drop("_id")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance resampling of all documents towards those labelled as of good quality."""
+    docs = with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return quality.resample(docs, F.col("quality") == 1, F.col("quality").isNotNull()).drop("quality")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of all documents. Rows without an id are not learned from and count as held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,6 +58,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
