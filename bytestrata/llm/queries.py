@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm import bloom_lm, language, minhash, quality
+from bytestrata.llm import bloom_lm, language, minhash, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def id_fold(folds: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents by a CRF that learns from the rows whose id fold is not 1. A null id counts as not held
     out and is not learned from."""
@@ -58,6 +63,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_lm_scoring": op8_lm_scoring,
