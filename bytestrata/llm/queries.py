@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm import bloom_lm, language, minhash, packing, quality
+from bytestrata.llm import bloom_lm, chat, language, minhash, mixing, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ECHO = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ECHO).alias("text"))
+    return chat.digests(chat.read_back(chat.format_turns(rows.unionByName(more))))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, similarity of 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(shingle=3, num=85, den=100))
@@ -24,6 +34,16 @@ def id_fold(folds: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+MIX = mixing.Params(weights=mixing.WEIGHTS, budget=1.0, epochs=2)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as all documents have, at target weights, no document more than twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", mixing.domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    slim = docs.select("doc_id", "domain", "lang", "source", mixing.n_tokens(F.col("text")).alias("n"))
+    return mixing.mix(slim, MIX, F.col("n")).drop("n")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,10 +83,15 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.oracle(MIX.budget, MIX.epochs, MIX.seed, MIX.digits),
+    "op9_chat_formatting": chat.ORACLE,
+}
