@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm import bloom_lm, chat, language, minhash, mixing, packing, quality
+from bytestrata.llm import bloom_lm, chat, hnsw, kdtree, language, minhash, mixing, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,21 @@ def id_fold(folds: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every vector whose id is divisible by 50, against all."""
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within each label."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, looked up in the index and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 MIX = mixing.Params(weights=mixing.WEIGHTS, budget=1.0, epochs=2)
 
 
@@ -83,6 +98,9 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
@@ -92,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_exact_top_k": kdtree.ORACLE,
     "op4_mixing": mixing.oracle(MIX.budget, MIX.epochs, MIX.seed, MIX.digits),
     "op9_chat_formatting": chat.ORACLE,
 }
