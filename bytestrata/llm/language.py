@@ -221,8 +221,8 @@ def fit(docs: DataFrame, learn: Column, p: Params = Params(), text: str = "text"
     return train([r[0] for r in rows], [r[1] for r in rows], p)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs' columns other than text, with lang_pred and score.
+def identify(docs: DataFrame, model: Model, text: str = "text", carry: bool = False) -> DataFrame:
+    """docs' columns other than text (with carry, text too), and lang_pred and score.
 
     Null text, and text without a letter, is ``und`` with score 0, as is all text for a model without languages. Rows
     are independent: ties, repeats and other columns, whatever their names, change nothing.
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(own)), F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    keys = [f"_{i}" for i in range(len(own))]
+    keys = [f"_{i}" for i in range(len(own))] + ["text"] * carry
     schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in keys)
     out = slim.mapInArrow(predictor(shared, keys), f"{schema}, lang_pred string, score double")
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(own)), "lang_pred", "score")
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(own)), *([F.col("text").alias(text)] * carry), "lang_pred", "score")

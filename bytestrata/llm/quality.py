@@ -88,8 +88,8 @@ def _scorer(ratios, p: Params, keys: list[str]):
     return run
 
 
-def resample(docs: DataFrame, target: Column, labelled: Column, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' columns other than text, with log_weight and selected.
+def resample(docs: DataFrame, target: Column, labelled: Column, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """docs' columns other than text (with carry, text too, null as empty), with log_weight and selected.
 
     target: true for rows of the target model (null: no). labelled: true for rows that say whether they are of it; they
     give the share to keep where p.keep is None. All rows give the raw model. Null, empty and token-less texts have
@@ -111,13 +111,13 @@ def resample(docs: DataFrame, target: Column, labelled: Column, p: Params = Para
     expected = raw / max(1.0, raw.sum()) * good.sum()
     ratio = np.log((good + p.smoothing) / (expected + p.smoothing)).astype(np.float32)
     ratios = spark.sparkContext.broadcast(ratio)
-    keys = [f"_{i}" for i in range(len(own))] + ["tie"]
+    keys = [f"_{i}" for i in range(len(own))] + ["tie"] + ["text"] * carry
     schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in keys) + ", log_weight double, draw_order long"
-    scored = scratch.save(slim.select(*keys, "noise", "text").mapInArrow(_scorer(ratios, p, keys), schema))
+    scored = scratch.save(slim.select(*(k for k in keys if k != "text"), "noise", "text").mapInArrow(_scorer(ratios, p, keys), schema))
     n = scored.count()
     keep = p.keep
     if keep is None:
         marks = slim.agg(F.count_if("labelled").alias("n"), F.count_if(F.col("labelled") & F.col("target")).alias("good")).first()
         keep = marks.good / marks.n if marks.n else 1.0
     chosen = first_k(scored, "draw_order", "tie", int(np.ceil(keep * n)))
-    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(own)), "log_weight", chosen.alias("selected"))
+    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(own)), *([F.col("text").alias(text)] * carry), "log_weight", chosen.alias("selected"))
