@@ -4,8 +4,9 @@
    of its bands (runs of minima). Documents with equal sets become one class before any pair is looked at.
 2. In each band bucket the smallest class is the centre; every other class is verified against it on full sets. A
    bucket of m classes gives m - 1 pairs, so large groups of copies stay linear.
-3. Buckets whose other classes still lie in different components get an exact pass for the rest: small ones by
-   pairs, large ones by blocks against blocks, each block task returning a spanning forest of its links.
+3. Buckets whose other classes still lie in different components get further centres, a few rounds long, each verified
+   against what is not in its component yet, and then an exact pass for the rest: small ones by pairs, large ones by
+   blocks against blocks, each block task returning a spanning forest of its links.
 4. Components by alternating large-star and small-star.
 
 The band count is chosen so that a pair at the threshold misses every band with probability under 1e-6.
@@ -19,15 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytestrata.llm.components import connected_components
-from bytestrata.llm.scratch import Scratch
+from bytestrata.llm.scratch import Scratch, bounded_broadcast_rows
 from bytestrata.llm.textkit import U64, mix, runs_reduce, shingle_sets, slices, words
 
 SMALL_BUCKET = 16
 BLOCK = 128
+ROUNDS = 5
+BROADCAST_IDS = 500_000
 CACHE_RUN = 1 << 15
 
 
@@ -115,11 +118,10 @@ def set_maker(p: Params):
 
 
 def block_linker(p: Params):
-    """Links between two blocks of one bucket, as a spanning forest. A document's row says in which block it is."""
+    """Links between the rows of two blocks of one bucket that lie in different components, as a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        side = table.column("side").to_numpy()
         comp = table.column("comp").to_numpy()
         lists = table.column("shingles").combine_chunks()
         values, bounds = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
@@ -157,7 +159,6 @@ def block_linker(p: Params):
                 root[x] = y
                 us.append(ids[i])
                 vs.append(ids[j])
-        del side
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
@@ -176,6 +177,16 @@ def _near_size(p: Params, a: str, b: str):
     return p.den * F.least(a, b) >= p.num * F.greatest(a, b)
 
 
+def _inside(members: DataFrame, comps: DataFrame) -> DataFrame:
+    return members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+
+
+def _open(inside: DataFrame) -> DataFrame:
+    """Buckets whose members lie in more than one component, with their size and a fingerprint of their members."""
+    who = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
+    return inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), who).where("lo <> hi")
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of docs.
 
@@ -196,30 +207,56 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     members = scratch.save(rows.join(heads, "key").where("id <> u"))
     tested = members.where(_near_size(p, "n", "nu")).select("u", F.col("id").alias("v")).distinct()
     tested = scratch.save(tested)
-    needed = tested.select(F.col("u").alias("id")).unionByName(members.select("id")).distinct()
-    sets = slim.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    needed = scratch.save(tested.select(F.col("u").alias("doc_id")).unionByName(members.select(F.col("id").alias("doc_id"))).distinct())
+    if bounded_broadcast_rows(needed, BROADCAST_IDS):
+        needed = F.broadcast(needed)
+    sets = slim.join(needed, "doc_id", "left_semi")
     sets = scratch.save(sets.mapInArrow(set_maker(p), "id long, shingles array<long>"))
     links = scratch.save(_verified(tested, sets, p))
     first = scratch.save(connected_components(links, scratch))
 
-    # What lies in one bucket and still in different components, the pairs with its centre aside.
-    inside = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_keys = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    open_keys = open_keys.where("lo <> hi").groupBy("m", "who").agg(F.min("key").alias("key"))
-    rest = scratch.save(inside.join(open_keys.select("key", "m"), "key"))
+    # What lies in one bucket and still in different components, the pairs with its centre aside: first other centres,
+    # one per bucket and round, against what isn't in their component yet; then the exact pass for what stays open.
+    comps, idle = first, 0
+    for turn in range(1, ROUNDS + 1):
+        inside = _inside(members, comps)
+        lots = scratch.save(_open(inside).where(F.col("m") > SMALL_BUCKET).select("key"))
+        if not lots.limit(1).count():
+            break
+        crowd = inside.join(lots, "key")
+        centre = crowd.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(turn), "id")).alias("c"))
+        pairs = crowd.join(centre, "key").where("comp <> c.comp").where(_near_size(p, "n", "c.n"))
+        pairs = scratch.save(pairs.select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct())
+        new = scratch.save(_verified(pairs, sets, p))
+        found = new.count()
+        idle = idle + 1 if not found else 0
+        if found:
+            links = scratch.save(links.unionByName(new))
+            comps = scratch.save(connected_components(links, scratch))
+        scratch.drop(lots, pairs, new)
+        if idle == 2:
+            break
+
+    inside = _inside(members, comps)
+    rest = scratch.save(inside.join(_open(inside).groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"), "key"))
     small = rest.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
     pairs = small.select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu")).join(other, "key")
     pairs = pairs.where("u < v and cu <> cv").where(_near_size(p, "nu", "nv")).select("u", "v").distinct()
     more = _verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, p)
 
-    large = rest.where(F.col("m") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
-    large = large.withColumn("b", F.pmod(F.xxhash64("id"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = large.select("key", "id", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
+    # A large bucket's largest component is not compared with itself: its blocks meet the blocks of the others only.
+    large = rest.where(F.col("m") > SMALL_BUCKET).select("key", "id", "comp")
+    tops = large.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
+    tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.count") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).alias("nx"))
+    large = large.join(tops, "key").withColumn("x", F.col("comp") != F.col("top"))
+    large = large.withColumn("b", F.when(F.col("x"), F.pmod(F.xxhash64("id"), "nx")).otherwise(-1 - F.pmod(F.xxhash64("id"), "nb")))
+    meets = F.when(F.col("x"), F.sequence(-F.col("nb"), F.col("nx") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))
+    large = large.withColumn("o", F.explode(meets)).select("key", "id", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     large = large.join(sets.dropDuplicates(["id"]), "id")
     blocks = large.groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long")
     more = scratch.save(more.unionByName(blocks))
-    final = connected_components(links.unionByName(more), scratch) if more.limit(1).count() else first
+    final = connected_components(links.unionByName(more), scratch) if more.limit(1).count() else comps
 
     group = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*fp, F.coalesce("component", "rep").alias("c"))
     group = scratch.save(group)
@@ -234,5 +271,3 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     gone = near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
-
-_ = Window
