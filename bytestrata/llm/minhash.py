@@ -29,7 +29,7 @@ from bytestrata.llm.textkit import U64, mix, runs_reduce, shingle_sets, slices,
 
 SMALL_BUCKET = 16
 BLOCK = 128
-ROUNDS = 5
+ROUNDS = 3
 BROADCAST_IDS = 500_000
 CACHE_RUN = 1 << 15
 
@@ -217,25 +217,17 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
 
     # What lies in one bucket and still in different components, the pairs with its centre aside: first other centres,
     # one per bucket and round, against what isn't in their component yet; then the exact pass for what stays open.
-    comps, idle = first, 0
+    comps = first
     for turn in range(1, ROUNDS + 1):
         inside = _inside(members, comps)
-        lots = scratch.save(_open(inside).where(F.col("m") > SMALL_BUCKET).select("key"))
-        if not lots.limit(1).count():
-            break
-        crowd = inside.join(lots, "key")
-        centre = crowd.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(turn), "id")).alias("c"))
-        pairs = crowd.join(centre, "key").where("comp <> c.comp").where(_near_size(p, "n", "c.n"))
-        pairs = scratch.save(pairs.select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct())
-        new = scratch.save(_verified(pairs, sets, p))
-        found = new.count()
-        idle = idle + 1 if not found else 0
-        if found:
-            links = scratch.save(links.unionByName(new))
-            comps = scratch.save(connected_components(links, scratch))
-        scratch.drop(lots, pairs, new)
-        if idle == 2:
+        lots = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(turn), "id")).alias("c"))
+        lots = lots.where((F.col("m") > SMALL_BUCKET) & (F.col("lo") != F.col("hi"))).select("key", F.col("c.id").alias("c"), F.col("c.n").alias("nc"), F.col("c.comp").alias("cc"))
+        pairs = inside.join(lots, "key").where("comp <> cc").where(_near_size(p, "n", "nc"))
+        new = scratch.save(_verified(pairs.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct(), sets, p))
+        if not new.limit(1).count():
             break
+        links = links.unionByName(new)
+        comps = connected_components(links, scratch)
 
     inside = _inside(members, comps)
     rest = scratch.save(inside.join(_open(inside).groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"), "key"))
