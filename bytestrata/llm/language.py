@@ -29,8 +29,8 @@ class Params:
     """The fit takes at most about ``per_language`` rows of each language, of at most ``row_bytes`` bytes each, chosen by
     a hash of the text; everything else sees all rows whole."""
 
-    per_language: int = 300
-    row_bytes: int = 20_000
+    per_language: int = 120
+    row_bytes: int = 8_000
     lexicon_min: int = 3
     length: int = 64
     epochs: int = 25
