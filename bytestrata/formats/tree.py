@@ -60,3 +60,29 @@ def fields(v: View, at: int, layout: Iterable[Field], order: str) -> list[Node]:
             out.append(Node(f"{name}: {shown(n, how)}", at, at + abs(width)))
         at += abs(width)
     return out
+
+
+#: White space as Unicode has it (str.strip() takes four separators more).
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def hexed(digits: int = 1) -> Callable[[int], str]:
+    return lambda n: f"0x{n:0{digits}x}"
+
+
+def record(v: View, at: int, layout: list[Field], order: str) -> tuple[list[Node], list[int]] | None:
+    """Leaves and numbers of a fixed layout; None where it doesn't lie whole in the data."""
+    if at < 0 or at + sum(abs(width) for _, width, _ in layout) > v.size:
+        return None
+    out, values = [], []
+    for name, width, how in layout:
+        n = v.number(at, abs(width), order, width < 0)
+        values.append(n)
+        out.append(Node(f"{name}: {shown(n, how)}" if how is not OPAQUE else name, at, at + abs(width)))
+        at += abs(width)
+    return out, values
+
+
+def OPAQUE(n: int) -> str:  # noqa: N802
+    """How a field is shown that has a name and no value."""
+    return ""

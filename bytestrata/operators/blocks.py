@@ -10,44 +10,11 @@ from pyspark.sql import functions as F
 
 from bytestrata.formats.tree import flat
 from bytestrata.formats.walkers import dissect
+from bytestrata.operators.recognise import identify
 
 BLOCKS = "idx int, parent int, depth int, label string, start long, end long, expandable boolean, default_expanded boolean"
 
 
-def _at(content: Column, offset: int, raw: bytes) -> Column:
-    return F.substring(content, offset + 1, len(raw)) == F.lit(raw)
-
-
-def identify(content: Column) -> Column:
-    """Name of a content's format: the first rule that holds, all on leading bytes; Data if none does."""
-    size = F.octet_length(content)
-    rules = [
-        ("ELF", _at(content, 0, b"\x7fELF")),
-        ("WebAssembly", _at(content, 0, b"\0asm") & (size >= 8)),
-        ("RPM", _at(content, 0, b"\xed\xab\xee\xdb") & (size >= 96)),
-        ("WAV", _at(content, 0, b"RIFF") & _at(content, 8, b"WAVE")),
-        ("OGG", _at(content, 0, b"OggS")),
-        ("FLAC", _at(content, 0, b"fLaC")),
-        ("WebP", _at(content, 0, b"RIFF") & _at(content, 8, b"WEBP")),
-        ("PNG", _at(content, 0, b"\x89PNG\r\n\x1a\n")),
-        ("BPG", _at(content, 0, b"BPG\xfb") & (size >= 6)),
-        ("BMP", _at(content, 0, b"BM")),
-        ("SQLite", _at(content, 0, b"SQLite format 3\0")),
-        ("ZIP", _at(content, 0, b"PK\x03\x04")),
-        ("XZ", _at(content, 0, b"\xfd7zXZ\0") & (size >= 12)),
-        ("7-Zip", _at(content, 0, b"7z\xbc\xaf\x27\x1c") & (size >= 32)),
-        ("RAR", _at(content, 0, b"Rar!\x1a\x07\x00") | _at(content, 0, b"Rar!\x1a\x07\x01\x00")),
-        ("TAR", (size >= 512) & _at(content, 257, b"ustar")),
-        ("GIF", _at(content, 0, b"GIF87a") | _at(content, 0, b"GIF89a")),
-        ("JPEG", _at(content, 0, b"\xff\xd8")),
-        ("Gzip", _at(content, 0, b"\x1f\x8b")),
-    ]
-    ladder = None
-    for name, rule in rules:
-        ladder = F.when(rule, name) if ladder is None else ladder.when(rule, name)
-    return ladder.otherwise("Data")
-
-
 def blocks(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """files(key, content) -> a row per labelled range, with key and file_type. Null content gives no row."""
     slim = files.where(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).alias("content"), identify(F.col(content)).alias("file_type"))
