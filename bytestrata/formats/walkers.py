@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bytestrata.formats import containers, executables
+from bytestrata.formats import containers, executables, media
 from bytestrata.formats.tree import Field, Node, View, fields
 
 # Fixed values of the formats.
@@ -226,7 +226,7 @@ def flac(v: View) -> list[Node]:
 
 
 WALKERS = {"WAV": wav, "FLAC": flac, "WebP": webp, "PNG": png, "BMP": bmp, "SQLite": sqlite, "TAR": tar, "Gzip": gzip, "Data": fallback}
-WALKERS |= containers.WALKERS | executables.WALKERS
+WALKERS |= containers.WALKERS | executables.WALKERS | media.WALKERS
 
 
 def dissect(file_type: str, data: bytes) -> list[Node]:

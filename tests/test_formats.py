@@ -60,7 +60,24 @@ MACHO = struct.pack("<IiiIIIII", 0xFEEDFACF, 0x0100000C, -1, 2, 2, 32, 1, 0) + s
 OGG = b"OggS\0\2" + struct.pack("<qIIIB", -1, 7, 0, 9, 1) + b"\x08OpusHead" + b"OggS\0\4" + struct.pack("<qIIIB", 5, 7, 1, 9, 0)
 GIF = b"GIF89a" + struct.pack("<HHBBB", 3, 2, 0x80, 1, 0) + bytes(6) + b"!\xf9\4abcd\0" + b"," + struct.pack("<HHHHB", 0, 0, 3, 2, 0x40) + b"\2\1x\0;"
 ICO = b"\0\0\1\0\1\0" + struct.pack("<BBBBHHII", 0, 16, 0, 0, 1, 32, 44, 22) + struct.pack("<IiiHHII", 40, 16, 32, 1, 32, 0, 4) + bytes(20)
+MVHD = bytes(4) + struct.pack(">IIII", 2082844800, 2082844801, 1000, 90500) + struct.pack(">IH", 0x18000, 256)
+MDHD = b"\1" + bytes(3) + struct.pack(">QQIQ", 0, 0, 2, 7205) + struct.pack(">HH", 0x15C7, 0)
+HDLR = bytes(8) + b"vide" + bytes(12) + b"Video\0"
+
+
+def box(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", 8 + len(body)) + kind + body
+
+
+MP4 = box(b"ftyp", b"isom" + struct.pack(">I", 512) + b"mp41") + box(b"moov", box(b"mvhd", MVHD) + box(b"trak", box(b"mdhd", MDHD) + box(b"hdlr", HDLR))) + b"\0\0\0\0mdatxyz"
+SWF = b"FWS\6" + struct.pack("<I", 30) + bytes([0x28, 0x14, 0x01, 0x40]) + struct.pack("<HH", 0x0C80, 1) + struct.pack("<H", 9 << 6 | 3) + b"rgb" + struct.pack("<HI", 82 << 6 | 63, 2) + b"ab" + b"\0\0!"
 CASES = [
+    ("MP4", MP4, {("ftyp (File Type)", 0, 20), ("Compatible brand: mp41", 16, 20), ("mvhd (Movie Header)", 28, 62), ("Creation time: 2082844800 (1970-01-01 00:00:00 UTC)", 40, 44),
+                  ("Duration: 90500 (1:30.500)", 52, 56), ("Rate: 1.5", 56, 60), ("Volume: 1", 60, 62), ("Duration: 7205 (1:00:02.500)", 102, 110), ("Language: eng", 110, 112),
+                  ("Handler type: vide", 130, 134), ("Name: Video", 146, 152)}),
+    ("SWF", SWF, {("Nbits: 5", 8, 9), ("Frame rate: 12.5 fps", 12, 14), ("Frame count: 1", 14, 16), ("SetBackgroundColor", 16, 21), ("Data (3 bytes)", 18, 21), ("DoABC", 21, 29), ("Length: 2", 23, 27), ("End", 29, 31), ("Tags (3)", 16, 31), ("Trailing data", 31, 32)}),
+    ("DOL", dol(), {("Text 0: offset 0x100, load 0x80003000, 0x80 bytes", 0, 148), ("Entry point: 0x80003000 (in Text 0)", 224, 228), ("Text 0 (load 0x80003000, 0x80 bytes)", 256, 384),
+                    ("Data 0 (load 0x80004000, 0x20 bytes)", 384, 416), ("Text 1: unused", 4, 152)}),
     ("ELF", ELF, {("Endianness: little", 5, 6), ("OS/ABI: Linux", 7, 8), ("Header: 64-bit", 16, 64), ("Program header 0: LOAD", 64, 120), ("Flags: R X", 68, 72), ("Section header 0: NULL", 120, 184),
                   ("Name: (none) (0x0)", 120, 124), ("Section header 1: .shstrtab", 184, 248), ("Name: .shstrtab (0x1)", 184, 188), ("Size: 0xb", 216, 224)}),
     ("PE", PE, {("PE header offset: 64", 60, 64), ("PE signature: PE\\0\\0", 64, 68), ("Machine: AMD64", 68, 70), ("Magic: PE32+ (64-bit)", 88, 90), ("Optional header data", 90, 92),
