@@ -84,7 +84,27 @@ def selection_status(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", B.selection_status(start, start + F.col("p_size") - 1).alias("status"))
 
 
-QUERIES = {q.__name__: q for q in (bmp_fields, identify_magic, tar_entries, png_ihdr, hexdump_lines, offset_lookup, highlight_lines, block_stats, selection_status)}
+def gif_screen(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")
+    content = F.concat(_raw(b"GIF89a"), _le(F.col("p_partkey"), 2), _le(F.col("p_size"), 2), _raw(b"\0\0\0!\xfe"), _le(F.col("p_size"), 1), F.repeat(F.lit("c"), F.col("p_size")).cast("binary"), _raw(b"\0;"))
+    return B.blocks(p.select(F.col("p_partkey").alias("path"), content.alias("content"))).where("label rlike '^(Canvas|Sub-block|Trailer)'").select("path", "label", "start", "end")
+
+
+def ogg_pages(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 200 + 1).alias("n"))
+    head = F.concat(_raw(b"OggS\0\4"), _le(F.col("o_orderkey"), 8), _raw(bytes(12)), _raw(b"\1"), _le(F.col("n"), 1))
+    content = F.concat(head, F.repeat(F.lit("p"), F.col("n").cast("int")).cast("binary"))
+    return B.blocks(o.select(F.col("o_orderkey").alias("path"), content.alias("content"))).where("label rlike '^(Granule|Header type|Payload)'").select("path", "label", "start", "end")
+
+
+def macho_commands(spark: SparkSession, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey")
+    head = F.concat(_raw(b"\xcf\xfa\xed\xfe\x07\0\0\1\3\0\0\0\2\0\0\0\2\0\0\0"), _le(F.col("c_nationkey") + 16, 4), _raw(bytes(8)))
+    content = F.concat(head, _raw(b"\x28\0\0\x80"), _le(F.col("c_nationkey") + 8, 4), F.repeat(F.lit("x"), F.col("c_nationkey").cast("int")).cast("binary"), _raw(b"\2\0\0\0\x08\0\0\0"))
+    return B.blocks(c.select(F.col("c_custkey").alias("path"), content.alias("content"))).where("label rlike '^(Load command|Command size|CPU type)'").select("path", "label", "start", "end")
+
+
+QUERIES = {q.__name__: q for q in (bmp_fields, identify_magic, tar_entries, png_ihdr, hexdump_lines, offset_lookup, highlight_lines, block_stats, selection_status, gif_screen, ogg_pages, macho_commands)}
 ORACLES = {
     "bmp_fields": """SELECT p_partkey AS path, unnest(['Width: ' || p_size, 'Height: ' || p_partkey, 'Compression: BI_RGB']) AS label,
       CAST(unnest([18, 22, 30]) AS BIGINT) AS start, CAST(unnest([22, 26, 34]) AS BIGINT) AS "end" FROM part""",
@@ -107,4 +127,11 @@ ORACLES = {
       FROM part, (SELECT unnest([0, 1, 2, 3]) AS line)""",
     "block_stats": """SELECT 'BMP' AS file_type, 0 AS depth, 3 * count(*) AS n, CAST(70 * count(*) AS BIGINT) AS covered FROM part UNION ALL SELECT 'BMP', 1, 15 * count(*), CAST(54 * count(*) AS BIGINT) FROM part""",
     "selection_status": """SELECT p_partkey, CASE WHEN p_size > 1 THEN printf('Selection: %d bytes, Range: 0x%x-0x%x (%d-%d)', p_size - 1, p_partkey, p_partkey + p_size - 2, p_partkey, p_partkey + p_size - 2) ELSE '-' END AS status FROM part""",
+    "gif_screen": """SELECT p_partkey AS path, unnest(['Canvas width: ' || p_partkey % 65536, 'Canvas height: ' || p_size, 'Sub-block (' || p_size || ' bytes)', 'Trailer']) AS label,
+      CAST(unnest([6, 8, 15, 17 + p_size]) AS BIGINT) AS start, CAST(unnest([8, 10, 16 + p_size, 18 + p_size]) AS BIGINT) AS "end" FROM part""",
+    "ogg_pages": """SELECT o_orderkey AS path, unnest(['Header type flag: 0x04 (last page (eos))', 'Granule position: ' || o_orderkey, 'Payload data']) AS label,
+      CAST(unnest([5, 6, 28]) AS BIGINT) AS start, CAST(unnest([6, 14, 29 + o_custkey % 200]) AS BIGINT) AS "end" FROM orders""",
+    "macho_commands": """WITH t AS (SELECT c_custkey AS path, CAST(c_nationkey AS BIGINT) AS n FROM customer)
+      SELECT path, unnest(['CPU type: x86_64', 'Load command: LC_MAIN', 'Command size: ' || (n + 8), 'Load command: LC_SYMTAB', 'Command size: 8']) AS label,
+      CAST(unnest([4, 32, 36, 40 + n, 44 + n]) AS BIGINT) AS start, CAST(unnest([8, 40 + n, 40, 48 + n, 48 + n]) AS BIGINT) AS "end" FROM t""",
 }
