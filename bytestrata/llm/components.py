@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytestrata.llm.scratch import Scratch
 
+TASK_EDGES = 1 << 17
+
+
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars with the same components as the edges of one partition: each node and the smallest that it reaches there."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    nodes, ends = np.unique(np.concatenate((t["u"].to_numpy(), t["v"].to_numpy())), return_inverse=True)
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in zip(*ends.reshape(2, -1).tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    low = np.fromiter(map(find, range(len(nodes))), np.int64, len(nodes))
+    moved = low != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[low[moved]])], ["u", "v"])
+
+
+def _contracted(e: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """The n edges of a saved table as the stars of runs of about TASK_EDGES, like a map-side combine."""
+    return scratch.save(e.coalesce(max(1, math.ceil(n / TASK_EDGES))).mapInArrow(local_stars, "u long, v long"))
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,10 +67,13 @@ def _stars(e: DataFrame) -> bool:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges(u long, v long) -> (node, component): every node of an edge, and the smallest node it is connected to.
 
-    Hubs cost no single task: neighbours are never gathered in one row, each step is a grouped minimum and a join,
-    whose hot keys adaptive execution splits. Self-loops and repeated edges are harmless.
+    Runs of edges, of bounded size, are first contracted to stars where they lie. Hubs cost no single task: neighbours
+    are never gathered in one row, each step is a grouped minimum and a join, whose hot keys adaptive execution splits.
+    Self-loops and repeated edges are harmless.
     """
-    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    given = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    now = _contracted(given, given.count(), scratch)
+    scratch.drop(given)
     while not _stars(now):
         after = scratch.save(_small_star(_large_star(now)))
         scratch.drop(now)

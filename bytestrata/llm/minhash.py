@@ -177,6 +177,10 @@ def _near_size(p: Params, a: str, b: str):
     return p.den * F.least(a, b) >= p.num * F.greatest(a, b)
 
 
+def _edges(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def _inside(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
 
@@ -226,8 +230,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
         new = scratch.save(_verified(pairs.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct(), sets, p))
         if not new.limit(1).count():
             break
-        links = links.unionByName(new)
-        comps = connected_components(links, scratch)
+        comps = connected_components(_edges(comps).unionByName(new), scratch)
 
     inside = _inside(members, comps)
     rest = scratch.save(inside.join(_open(inside).groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"), "key"))
@@ -248,7 +251,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     large = large.join(sets.dropDuplicates(["id"]), "id")
     blocks = large.groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long")
     more = scratch.save(more.unionByName(blocks))
-    final = connected_components(links.unionByName(more), scratch) if more.limit(1).count() else comps
+    final = connected_components(_edges(comps).unionByName(more), scratch) if more.limit(1).count() else comps
 
     group = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*fp, F.coalesce("component", "rep").alias("c"))
     group = scratch.save(group)

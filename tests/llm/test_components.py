@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from bytestrata.llm import components
 from bytestrata.llm.components import connected_components
 from bytestrata.llm.scratch import Scratch
 
@@ -13,8 +14,10 @@ GRAPHS = {
 }
 
 
+@pytest.mark.parametrize("run", [2, components.TASK_EDGES])
 @pytest.mark.parametrize("name", GRAPHS)
-def test_equals_union_find(spark, name):
+def test_equals_union_find(spark, monkeypatch, name, run):
+    monkeypatch.setattr(components, "TASK_EDGES", run)
     root = {}
 
     def find(x):
