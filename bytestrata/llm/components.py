@@ -64,8 +64,8 @@ def _stars(e: DataFrame) -> bool:
     return not degrees.where("up > 1 or (up > 0 and down > 0)").limit(1).count()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges(u long, v long) -> (node, component): every node of an edge, and the smallest node it is connected to.
+def stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """edges(u long, v long) -> a saved table (node, component): every node but the smallest of its component, and that.
 
     Runs of edges, of bounded size, are first contracted to stars where they lie. Hubs cost no single task: neighbours
     are never gathered in one row, each step is a grouped minimum and a join, whose hot keys adaptive execution splits.
@@ -78,5 +78,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         after = scratch.save(_small_star(_large_star(now)))
         scratch.drop(now)
         now = after
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """edges(u long, v long) -> (node, component): every node of an edge, and the smallest node it is connected to."""
+    found = stars(edges, scratch)
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytestrata.llm.components import connected_components
+from bytestrata.llm.components import stars
 from bytestrata.llm.scratch import Scratch, bounded_broadcast_rows
 from bytestrata.llm.textkit import U64, mix, runs_reduce, shingle_sets, slices, words
 
@@ -178,6 +178,7 @@ def _near_size(p: Params, a: str, b: str):
 
 
 def _edges(comps: DataFrame) -> DataFrame:
+    """The edges of stars; a node that has none is its own component."""
     return comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
@@ -217,11 +218,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     sets = slim.join(needed, "doc_id", "left_semi")
     sets = scratch.save(sets.mapInArrow(set_maker(p), "id long, shingles array<long>"))
     links = scratch.save(_verified(tested, sets, p))
-    first = scratch.save(connected_components(links, scratch))
+    comps = stars(links, scratch)
 
     # What lies in one bucket and still in different components, the pairs with its centre aside: first other centres,
     # one per bucket and round, against what isn't in their component yet; then the exact pass for what stays open.
-    comps = first
     for turn in range(1, ROUNDS + 1):
         inside = _inside(members, comps)
         lots = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(turn), "id")).alias("c"))
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
         new = scratch.save(_verified(pairs.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct(), sets, p))
         if not new.limit(1).count():
             break
-        comps = connected_components(_edges(comps).unionByName(new), scratch)
+        comps = stars(_edges(comps).unionByName(new), scratch)
 
     inside = _inside(members, comps)
     rest = scratch.save(inside.join(_open(inside).groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"), "key"))
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     large = large.join(sets.dropDuplicates(["id"]), "id")
     blocks = large.groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long")
     more = scratch.save(more.unionByName(blocks))
-    final = connected_components(_edges(comps).unionByName(more), scratch) if more.limit(1).count() else comps
+    final = stars(_edges(comps).unionByName(more), scratch) if more.limit(1).count() else comps
 
     group = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*fp, F.coalesce("component", "rep").alias("c"))
     group = scratch.save(group)
