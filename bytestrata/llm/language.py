@@ -122,6 +122,26 @@ def forward_backward(e: np.ndarray, active: np.ndarray, move: np.ndarray) -> tup
     return post, a, b
 
 
+def posteriors(e: np.ndarray, active: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The posteriors of forward_backward() alone: beside e it holds one array of e's size and the last backward step."""
+    begin = np.concatenate(([0], np.cumsum(active)))
+    out, last = np.empty_like(e), None
+    for t in range(len(active)):
+        cur = e[begin[t] : begin[t + 1]]
+        x = cur if last is None else (last[: active[t]] @ move) * cur
+        last = x / x.sum(1, keepdims=True)
+        out[begin[t] : begin[t + 1]] = last
+    back = move.T.copy()
+    b = np.ones((active[-1], e.shape[1])) if len(active) else e
+    for t in range(len(active) - 2, -1, -1):
+        x = (e[begin[t + 1] : begin[t + 2]] * b) @ back
+        b = np.ones((active[t], e.shape[1]))
+        b[: active[t + 1]] = x / x.sum(1, keepdims=True)
+        out[begin[t] : begin[t + 1]] *= b
+    out /= out.sum(1, keepdims=True)
+    return out
+
+
 def potentials(e: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(e - e.max(1, keepdims=True), -60, 0)).astype(np.float64)
 
@@ -181,28 +201,41 @@ def train(texts: list[str], labels: list[str], p: Params = Params()) -> Model:
     return model
 
 
+def text_means(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and the mean posterior of each language over the words of each text that has some.
+    What it holds on the way is free again when it returns."""
+    w = words(texts)
+    n = np.diff(w.first)
+    if not len(w.hashes) or not m.languages:
+        return n, np.zeros((0, len(m.languages)))
+    _, unique_first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+    pot = potentials(m.emissions(w, unique_first))
+    begins = w.first[:-1][n > 0]
+    place, active, _ = time_major(w.first)
+    del w, unique_first
+    e = np.empty((len(inverse), len(m.languages)))
+    e[place] = pot[inverse]
+    del pot, inverse
+    post = posteriors(e, active, np.exp(m.transitions))
+    del e
+    return n, np.add.reduceat(post[place], begins, axis=0) / n[n > 0][:, None]
+
+
+RUN_BYTES = 4 << 20
+
+
 def predictor(model, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         names = np.array([*m.languages, "und"], object)
         k = len(m.languages)
-        for batch in slices(batches, "text"):
-            w = words(batch.column("text"))
+        for batch in slices(batches, "text", RUN_BYTES):
             lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-            n = np.diff(w.first)
+            n, means = text_means(m, batch.column("text"))
             best, score = np.full(len(n), k), np.zeros(len(n))
-            if len(w.hashes) and k:
-                _, unique_first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-                pot = potentials(m.emissions(w, unique_first))
-                place, active, order = time_major(w.first)
-                e = np.empty((len(inverse), k))
-                e[place] = pot[inverse]
-                post, _, _ = forward_backward(e, active, np.exp(m.transitions))
-                full = np.flatnonzero(n)
-                means = np.add.reduceat(post[place], w.first[:-1][full], axis=0) / n[full][:, None]
-                top = means.argmax(1)
-                best[full] = top
-                score[full] = np.clip(means[np.arange(len(top)), top], 0, 1)
+            if len(means):
+                best[n > 0] = means.argmax(1)
+                score[n > 0] = np.clip(means.max(1), 0, 1)
             best[~lettered], score[~lettered] = k, 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(names[best], pa.string()), pa.array(score)], [*keys, "lang_pred", "score"])
 
