@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytestrata.llm.textkit import U64, mix, slices, span_hashes, words
@@ -26,11 +26,13 @@ AFFIX = 4
 
 @dataclass(frozen=True)
 class Params:
-    """The fit takes at most about ``per_language`` rows of each language, of at most ``row_bytes`` bytes each, chosen by
-    a hash of the text; everything else sees all rows whole."""
+    """The fit takes of each language the ``per_language`` distinct texts with the smallest hashes, those of at most
+    ``row_bytes`` bytes first and, if they are too few, the first ``row_bytes`` characters of longer ones; of more than
+    ``languages`` languages it learns those with the most distinct texts. Everything else sees all rows whole."""
 
     per_language: int = 120
     row_bytes: int = 8_000
+    languages: int = 256
     lexicon_min: int = 3
     length: int = 64
     epochs: int = 25
@@ -242,15 +244,33 @@ def predictor(model, keys: list[str]):
     return run
 
 
-def fit(docs: DataFrame, learn: Column, p: Params = Params(), text: str = "text", lang: str = "lang") -> Model:
-    """A model of the rows for which ``learn`` is true and lang is not null. Languages with no row are not learned."""
-    able = docs.where(learn & F.col(lang).isNotNull() & F.octet_length(F.col(text)).between(1, p.row_bytes)).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("h"))
-    counts = {r.lang: r["count"] for r in able.groupBy("lang").count().orderBy(F.desc("count")).limit(256).collect()}
+def training_rows(docs: DataFrame, learn: Column, p: Params = Params(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """(text, lang) of the rows that fit() learns from, as Params says. Copies of a text within a language count once."""
+    whole, span = F.col(text).cast("string"), 1 << 62
+    long = F.octet_length(whole) > p.row_bytes
+    able = docs.where(learn & F.col(lang).isNotNull() & (F.octet_length(whole) > 0))
+    able = able.select(F.when(long, F.substring(whole, 1, p.row_bytes)).otherwise(whole).alias("text"), F.col(lang).cast("string").alias("lang"), long.alias("long"))
+    able = able.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(span)))
+    sizes = able.groupBy("lang").agg(*(F.approx_count_distinct(F.when(F.col("long") == x, F.col("h"))).alias(c) for c, x in (("n_short", False), ("n_long", True))))
+    sizes = sizes.orderBy(F.desc(F.col("n_short") + F.col("n_long")), "lang").limit(p.languages).collect()
+
+    # The counts are estimates, so twice the texts are let through; the smallest hashes of those are exact.
+    def below(n: int) -> Column:
+        return F.col("h") < math.ceil(min(1.0, 2 * p.per_language / max(1, n)) * span)
+
     chosen = F.lit(False)
-    for name, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("lang") == name) & (F.col("h") < math.ceil(min(1.0, p.per_language / n) * (1 << 30))))
-    rows = able.where(chosen).select("text", "lang").limit(2 * p.per_language * max(1, len(counts))).collect()
-    rows = sorted((r.text, r.lang) for r in rows)
+    for r in sorted(sizes):
+        own = ~F.col("long") & below(r.n_short)
+        if r.n_short < 2 * p.per_language:
+            own = own | (F.col("long") & below(r.n_long))
+        chosen = chosen | ((F.col("lang") == r.lang) & own)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text"))
+    return able.where(chosen).distinct().withColumn("rank", rank).where(F.col("rank") <= p.per_language).select("text", "lang")
+
+
+def fit(docs: DataFrame, learn: Column, p: Params = Params(), text: str = "text", lang: str = "lang") -> Model:
+    """A model of the rows for which ``learn`` is true and lang is not null. Languages without a text are not learned."""
+    rows = sorted((r.text, r.lang) for r in training_rows(docs, learn, p, text, lang).collect())
     return train([r[0] for r in rows], [r[1] for r in rows], p)
 
 
