@@ -91,6 +91,10 @@ def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def fingerprint(sets: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    return runs_reduce(np.add, mix(sets ^ U64(k)), bounds, 0).view(np.int64)
+
+
 def signer(p: Params):
     bands, rows = p.banding()
 
@@ -99,7 +103,7 @@ def signer(p: Params):
             sets, bounds = shingle_sets(words(batch.column(1)), p.shingle)
             keys = band_keys(minima(sets, bounds, bands * rows, p.seed), bands, rows)
             n = np.diff(bounds)
-            one, two = (runs_reduce(np.add, mix(sets ^ U64(k)), bounds, 0).view(np.int64) for k in (0xA5A5, 0x5A5A5A))
+            one, two = (fingerprint(sets, bounds, k) for k in (0xA5A5, 0x5A5A5A))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(one), pa.array(two), _list(keys.reshape(-1), np.arange(len(n) + 1) * bands)],
                 ["doc_id", "n_shingles", "fp1", "fp2", "bands"],
@@ -112,7 +116,7 @@ def set_maker(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets, bounds = shingle_sets(words(batch.column(1)), p.shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _list(sets.view(np.int64), bounds)], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint(sets, bounds, 0xA5A5)), _list(sets.view(np.int64), bounds)], ["id", "fp", "shingles"])
 
     return run
 
@@ -183,15 +187,27 @@ def _edges(comps: DataFrame) -> DataFrame:
 
 
 def _inside(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    return members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "fp", "n", F.coalesce("component", "id").alias("comp"))
 
 
 def _open(inside: DataFrame) -> DataFrame:
     """Buckets whose members lie in more than one component, with their size and a fingerprint of their members."""
-    who = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
+    who = F.sum(F.xxhash64("id", "fp").cast("decimal(38,0)")).alias("who")
     return inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), who).where("lo <> hi")
 
 
+def _repeats(able: DataFrame, classes: DataFrame, fp: list[str], scratch: Scratch) -> DataFrame | None:
+    """Edges between each doc_id that repeats with different sets and the classes of its rows; None if there is none."""
+    differ = " or ".join(f"min({c}) <> max({c})" for c in fp)
+    again = scratch.save(able.groupBy("doc_id").agg(F.expr(differ).alias("differ")).where("differ").select("doc_id"))
+    if not again.limit(1).count():
+        return None
+    if bounded_broadcast_rows(again, BROADCAST_IDS):
+        again = F.broadcast(again)
+    own = able.join(again, "doc_id", "left_semi").join(classes, fp).where("doc_id <> rep")
+    return scratch.save(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct())
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of docs.
 
@@ -206,19 +222,21 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     able = signed.where("doc_id is not null and n_shingles > 0")
     fp = ["fp1", "fp2", "n_shingles"]
     classes = scratch.save(able.groupBy(*fp).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    rows = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
-    heads = rows.groupBy("key").agg(F.min_by("id", F.struct("id", "n")).alias("u"), F.min(F.struct("id", "n")).alias("s"), F.count("*").alias("m"))
-    heads = scratch.save(heads.where("m > 1").select("key", "u", F.col("s.n").alias("nu"), "m"))
-    members = scratch.save(rows.join(heads, "key").where("id <> u"))
-    tested = members.where(_near_size(p, "n", "nu")).select("u", F.col("id").alias("v")).distinct()
+    # Classes that share their smallest doc_id are one node; fp tells them apart where they are compared.
+    rows = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), F.col("fp1").alias("fp"), F.col("n_shingles").alias("n"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("id", "n", "fp")).alias("s"), F.count("*").alias("m"))
+    heads = scratch.save(heads.where("m > 1").select("key", F.col("s.id").alias("u"), F.col("s.fp").alias("fu"), F.col("s.n").alias("nu"), "m"))
+    members = scratch.save(rows.join(heads, "key").where("id <> u or fp <> fu"))
+    tested = members.where("id <> u").where(_near_size(p, "n", "nu")).select("u", F.col("id").alias("v")).distinct()
     tested = scratch.save(tested)
     needed = scratch.save(tested.select(F.col("u").alias("doc_id")).unionByName(members.select(F.col("id").alias("doc_id"))).distinct())
     if bounded_broadcast_rows(needed, BROADCAST_IDS):
         needed = F.broadcast(needed)
     sets = slim.join(needed, "doc_id", "left_semi")
-    sets = scratch.save(sets.mapInArrow(set_maker(p), "id long, shingles array<long>"))
+    sets = scratch.save(sets.mapInArrow(set_maker(p), "id long, fp long, shingles array<long>"))
     links = scratch.save(_verified(tested, sets, p))
-    comps = stars(links, scratch)
+    same = _repeats(able, classes, fp, scratch)
+    comps = stars(links if same is None else links.unionByName(same), scratch)
 
     # What lies in one bucket and still in different components, the pairs with its centre aside: first other centres,
     # one per bucket and round, against what isn't in their component yet; then the exact pass for what stays open.
@@ -241,14 +259,14 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     more = _verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, p)
 
     # A large bucket's largest component is not compared with itself: its blocks meet the blocks of the others only.
-    large = rest.where(F.col("m") > SMALL_BUCKET).select("key", "id", "comp")
+    large = rest.where(F.col("m") > SMALL_BUCKET).select("key", "id", "fp", "comp")
     tops = large.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
     tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.count") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).alias("nx"))
     large = large.join(tops, "key").withColumn("x", F.col("comp") != F.col("top"))
-    large = large.withColumn("b", F.when(F.col("x"), F.pmod(F.xxhash64("id"), "nx")).otherwise(-1 - F.pmod(F.xxhash64("id"), "nb")))
+    large = large.withColumn("b", F.when(F.col("x"), F.pmod(F.xxhash64("id", "fp"), "nx")).otherwise(-1 - F.pmod(F.xxhash64("id", "fp"), "nb")))
     meets = F.when(F.col("x"), F.sequence(-F.col("nb"), F.col("nx") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))
-    large = large.withColumn("o", F.explode(meets)).select("key", "id", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    large = large.join(sets.dropDuplicates(["id"]), "id")
+    large = large.withColumn("o", F.explode(meets)).select("key", "id", "fp", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    large = large.join(sets.dropDuplicates(["id", "fp"]), ["id", "fp"])
     blocks = large.groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long")
     more = scratch.save(more.unionByName(blocks))
     final = stars(_edges(comps).unionByName(more), scratch) if more.limit(1).count() else comps

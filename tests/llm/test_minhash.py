@@ -73,3 +73,18 @@ def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c")], "doc_id long, text string")
     out = minhash.near_duplicates(df).collect()
     assert sorted((r.doc_id is None, r.component_id, r.kept) for r in out) == [(False, 3, True), (True, None, True), (True, None, True)]
+
+
+def test_repeated_ids_with_different_texts(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    p = minhash.Params(shingle=3, num=85)
+    rows = [(1, a), (2, b), (5, a), (5, b), (3, c), (5, c + " end")]  # 5 represents no class of 1 and 2, and joins them
+    assert got(spark, rows, p) == brute(rows, p)
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(0, " ".join(base))]
+    rows += [(i, " ".join(base[:70] + [f"{i % 12}x{k}" for k in range(12)] + [f"end{i}"])) for i in range(1, 25)]
+    rows += [(i, f"{a} {x} {i}") for i in range(1, 7) for x in ("m", "n")]
+    assert got(spark, rows, p) == brute(rows, p)
