@@ -2,12 +2,14 @@
 
 Texts are cut into the vocabulary's pre-tokens by numpy rules over bytes (the same cuts as its pattern: contractions, then
 runs of letters, of numbers and of other signs with one space before, then white space), distinct pre-tokens are encoded
-once and kept, and the ids of a column are gathered from there. Special strings in a text are ordinary text.
+once and kept, and the ids of a column are gathered from there. Strings of the vocabulary's added tokens are ordinary text,
+or with ``added`` one id each, as by the public tokenizer's defaults.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -94,7 +96,10 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.added = {x["content"].encode(): x["id"] for x in whole.get("added_tokens", [])}
+        self.find = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         byte_of = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte_of for c in t)}
         self.core = tiktoken.Encoding("public", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -109,7 +114,8 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = data.tobytes()
         encode = self.core.encode_single_piece
-        ids = [encode(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        # No rule makes an added token's string one pre-token, so that only those cut out by _spans() are met here.
+        ids = [[self.added[raw[a:b]]] if raw[a:b] in self.added else encode(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         count = np.array([len(x) for x in ids], np.int64)
         at = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], np.uint32)))
@@ -119,10 +125,24 @@ class Encoder:
         self.at = np.concatenate((self.at, at))[order]
         self.count = np.concatenate((self.count, count))[order]
 
-    def encode(self, texts: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
+    def _spans(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """(start, end) of the added tokens' strings within texts, from left to right in each text."""
+        raw = data.tobytes()
+        if self.find is None or not self.find.search(raw):
+            return np.zeros((0, 2), np.int64)
+        found = [m.span() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for m in self.find.finditer(raw, a, b)]
+        return np.array(found, np.int64).reshape(-1, 2)
+
+    def encode(self, texts: pa.Array, end: int | None = 0, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each followed by ``end`` unless that is None; bounds of the texts' ids."""
         data, off = raw_bytes(texts)
-        starts = pretokens(data, off)
+        spans = self._spans(data, off) if added else ()
+        if len(spans):
+            starts = pretokens(data, np.sort(np.concatenate((off, spans.reshape(-1)))))
+            last = np.searchsorted(spans[:, 0], starts, "left") - 1
+            starts = starts[(last < 0) | (starts >= spans[last, 1])]
+        else:
+            starts = pretokens(data, off)
         ends = np.append(starts[1:], len(data))
         h = span_hashes(data, starts, ends)
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)

@@ -50,7 +50,7 @@ def _tokenizer(p: Params, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(p.vocabulary or default_vocabulary())
         for batch in slices(batches, "text"):
-            ids, bounds = enc.encode(batch.column("text"), p.end_id)
+            ids, bounds = enc.encode(batch.column("text"), p.end_id, added=True)
             raw = memoryview(ids.astype("<u4").tobytes())
             rows = [(i, j, s, n, zlib.crc32(raw[4 * (a + s) : 4 * (a + s + n)])) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) for j, (s, n) in enumerate(cut(b - a, p.capacity))]
             who, *rest = (pa.array(x) for x in zip(*rows, strict=True))

@@ -90,3 +90,15 @@ def test_documents_round_trip(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string, shard int")).count() == 0
+
+
+def test_added_tokens_are_one_id_as_by_the_tokenizers_defaults(spark):
+    from tokenizers import Tokenizer
+
+    default, word = Tokenizer.from_file(PATH), "<|endoftext|>"
+    texts = [*ODD, None, word * 2, f"a {word} b", f" {word}\n{word}'s", f"x{word[:-1]}", f"<|end{word}", f"é {word}日  {word}  ", word[:6], word[6:], f"it{word}'s  {word} {word}"]
+    want = [[*default.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    ids, bounds = Encoder(PATH).encode(pa.array(texts, pa.string()), added=True)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
