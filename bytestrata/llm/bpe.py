@@ -2,8 +2,8 @@
 
 Texts are cut into the vocabulary's pre-tokens by numpy rules over bytes (the same cuts as its pattern: contractions, then
 runs of letters, of numbers and of other signs with one space before, then white space), distinct pre-tokens are encoded
-once and kept, and the ids of a column are gathered from there. Strings of the vocabulary's added tokens are ordinary text,
-or with ``added`` one id each, as by the public tokenizer's defaults.
+once and kept, and the ids of a column are gathered from there. Strings of the vocabulary's added tokens are one id each,
+as by the public tokenizer's defaults.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from bytestrata.llm.textkit import raw_bytes, span_hashes
+from bytestrata.llm.textkit import raw_bytes, same_spans, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 KEEP = 1_500_000
@@ -110,20 +110,55 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.from_ = np.zeros(0, np.int64)
+        self.to = np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
+
+    def _ids(self, token: bytes) -> list[int]:
+        # No rule makes an added token's string one pre-token, so that only those cut out by _spans() are met here.
+        return [self.added[token]] if token in self.added else self.core.encode_single_piece(token)
 
     def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = data.tobytes()
-        encode = self.core.encode_single_piece
-        # No rule makes an added token's string one pre-token, so that only those cut out by _spans() are met here.
-        ids = [[self.added[raw[a:b]]] if raw[a:b] in self.added else encode(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        tokens = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = [self._ids(t) for t in tokens]
         count = np.array([len(x) for x in ids], np.int64)
-        at = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], np.uint32)))
+        size = ends - starts
+        to = len(self.bytes) + np.cumsum(size)
         merged = np.concatenate((self.hashes, hashes))
         order = np.argsort(merged, kind="stable")
         self.hashes = merged[order]
-        self.at = np.concatenate((self.at, at))[order]
+        self.at = np.concatenate((self.at, len(self.pool) + np.cumsum(count) - count))[order]
         self.count = np.concatenate((self.count, count))[order]
+        self.from_ = np.concatenate((self.from_, to - size))[order]
+        self.to = np.concatenate((self.to, to))[order]
+        self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], np.uint32)))
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(tokens), np.uint8)))
+
+    def _found(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pre-token: how many ids it has, where they begin in a pool, and that pool. Pre-tokens are looked up by
+        hash and compared byte by byte; if a hash ever stands for two strings, all are looked up by their bytes."""
+        h = span_hashes(data, starts, ends)
+        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(uniq) > KEEP:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hashes, uniq), max(0, len(self.hashes) - 1))
+        new = np.ones(len(uniq), bool) if not len(self.hashes) else self.hashes[at] != uniq
+        if new.any():
+            self._learn(uniq[new], data, starts[first[new]], ends[first[new]])
+            at = np.searchsorted(self.hashes, uniq)
+        if same_spans(data, starts, ends, self.bytes, self.from_[at][back], self.to[at][back]).all():
+            return self.count[at][back], self.at[at][back], self.pool
+        raw = data.tobytes()
+        known: dict[bytes, list[int]] = {}
+        ids = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            token = raw[a:b]
+            if token not in known:
+                known[token] = self._ids(token)
+            ids.append(known[token])
+        count = np.array([len(x) for x in ids], np.int64)
+        return count, np.cumsum(count) - count, np.array([i for x in ids for i in x], np.uint32)
 
     def _spans(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """(start, end) of the added tokens' strings within texts, from left to right in each text."""
@@ -133,10 +168,10 @@ class Encoder:
         found = [m.span() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for m in self.find.finditer(raw, a, b)]
         return np.array(found, np.int64).reshape(-1, 2)
 
-    def encode(self, texts: pa.Array, end: int | None = 0, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each followed by ``end`` unless that is None; bounds of the texts' ids."""
         data, off = raw_bytes(texts)
-        spans = self._spans(data, off) if added else ()
+        spans = self._spans(data, off)
         if len(spans):
             starts = pretokens(data, np.sort(np.concatenate((off, spans.reshape(-1)))))
             last = np.searchsorted(spans[:, 0], starts, "left") - 1
@@ -144,24 +179,14 @@ class Encoder:
         else:
             starts = pretokens(data, off)
         ends = np.append(starts[1:], len(data))
-        h = span_hashes(data, starts, ends)
-        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(uniq) > KEEP:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.hashes, uniq), max(0, len(self.hashes) - 1))
-        new = np.ones(len(uniq), bool) if not len(self.hashes) else self.hashes[at] != uniq
-        if new.any():
-            self._learn(uniq[new], data, starts[first[new]], ends[first[new]])
-            at = np.searchsorted(self.hashes, uniq)
-        count = self.count[at][back]
-        source = self.at[at][back]
+        count, source, pool = self._found(data, starts, ends)
         first_span = np.searchsorted(starts, off)
         before = np.concatenate(([0], np.cumsum(count)))
         extra = 0 if end is None else 1
         bounds = before[first_span] + extra * np.arange(len(off))
         place = np.repeat(before[:-1], count)
         gather = np.arange(before[-1]) - place + np.repeat(source, count)
-        ids = self.pool[gather]
+        ids = pool[gather]
         if end is None:
             return ids, bounds
         out = np.full(bounds[-1], end, np.uint32)

@@ -2,11 +2,13 @@
 
 Vectors are dealt by label and hash to shards; each shard builds a graph over pivots. A vector within ``ball`` of a pivot
 it finds on its way in joins that pivot's ball instead of becoming a node, so that thousands of copies cost one node. Every
-vector of the label queries every shard of it: the search returns all pivots whose balls could hold a link, widening its
+vector of the label queries every shard of it: the graph goes to one task once, as the first row of its shard's run of
+rows, and the vectors stream past it in batches. The search returns all pivots whose balls could hold a link, widening its
 beam until the farthest pivot it returns lies beyond reach, and links are verified as cosines in double precision by
-blocked matrix products. A recall audit compares sampled queries with brute force in the shard and doubles the least beam
-until nothing is missed (at a beam of all nodes the search is exhaustive). Tasks return link counts and a spanning forest
-of their links, never pairs; forests are united by large-star and small-star.
+blocked matrix products. Recall audits compare stored vectors, whose links are known to exist, and sampled queries of
+each batch with brute force in the shard, and double the least beam until nothing is missed; where a beam of all nodes
+still misses a link, the shard is scanned whole for that batch. Tasks return link counts and a spanning forest of their
+links, never pairs; forests are united by large-star and small-star.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytestrata.llm.components import connected_components
-from bytestrata.llm.scratch import Scratch
+from bytestrata.llm.kdtree import runs_of
+from bytestrata.llm.scratch import Scratch, bounded_broadcast_rows
+
+BROADCAST_LABELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -205,64 +211,83 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def links_between(graph: Graph, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, same: bool, p: Params) -> tuple[np.ndarray, Forest]:
-    """How many of the graph's vectors each query links with, and a forest of the links."""
-    counts, forest = np.zeros(len(q), np.int64), Forest()
-    spread = min(math.pi, p.reach + p.ball + 1e-3)
-    least = math.cos(spread)
-
-    # Queries near one another share a search: each goes with the pivot it lies nearest to.
-    def exact(rows: np.ndarray, pivots: list[int], write: bool) -> np.ndarray:
-        cand = np.concatenate([member[v] for v in pivots]) if pivots else np.zeros(0, np.int64)
-        n = np.zeros(len(rows), np.int64)
-        for a in range(0, len(rows), 512):
-            part = rows[a : a + 512]
-            for b in range(0, len(cand), 8192):
-                other = cand[b : b + 8192]
-                linked = q[part] @ x[other].T >= p.threshold
-                if same:
-                    linked &= part[:, None] != other[None, :]
-                n[a : a + 512] += linked.sum(1)
-                if write and linked.any():
-                    r = np.flatnonzero(linked.any(1))
-                    first = linked[r].argmax(1)
-                    for i, j in zip(part[r].tolist(), other[first].tolist(), strict=True):
-                        forest.unite(int(qids[i]), int(ids[j]))
-                    c = np.flatnonzero(linked.any(0))
-                    first = linked[:, c].argmax(0)
-                    for j, i in zip(other[c].tolist(), part[first].tolist(), strict=True):
-                        forest.unite(int(qids[i]), int(ids[j]))
-                    # a query that links with columns of several trees joins them
-                    roots = np.array([forest.find(int(ids[j])) for j in other[c].tolist()])
-                    sub = linked[np.ix_(r, c)]
-                    for k, i in enumerate(part[r].tolist()):
-                        for root in np.unique(roots[sub[k]]).tolist():
-                            forest.unite(int(qids[i]), int(root))
-        return n
-
-    member = {v: np.array(m) for v, m in graph.members.items()}
-    gen = np.random.Generator(np.random.PCG64(p.seed))
-    probe = np.sort(gen.choice(len(q), min(p.audit, len(q)), replace=False))
-    truth = q[probe] @ x.T >= p.threshold
-    width = p.beam
-    while True:
-        hits = total = 0
-        for row, i in zip(truth, probe.tolist(), strict=True):
-            pivots = graph.reachable(q[i], width, least)
-            inside = np.zeros(len(x), bool)
-            for v in pivots:
-                inside[member[v]] = True
-            hits += int((row & inside).sum())
-            total += int(row.sum())
-        if hits >= p.recall * total or width >= len(graph.members):
-            break
-        width *= 2
-    groups: dict[tuple[int, ...], list[int]] = {}
-    for i in range(len(q)):
-        groups.setdefault(tuple(sorted(graph.reachable(q[i], width, least))), []).append(i)
-    for pivots, rows in groups.items():
-        counts[rows] = exact(np.array(rows), list(pivots), True)
-    return counts, forest
+class Shard:
+    """A graph and what it is searched with: its vectors, their ids and rows, and the least beam that its audits ask for."""
+
+    def __init__(self, graph: Graph, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, p: Params):
+        self.graph, self.x, self.ids, self.p = graph, x, ids, p
+        self.order = np.argsort(rows, kind="stable")
+        self.rows = rows[self.order]
+        self.member = {v: np.array(m) for v, m in graph.members.items()}
+        self.least = math.cos(min(math.pi, p.reach + p.ball + 1e-3))
+        self.width, self.whole = p.beam, False
+        self.gen = np.random.Generator(np.random.PCG64(p.seed))
+        self.hits = self.total = 0
+        self.audit(x)
+
+    def pivots(self, q: np.ndarray) -> list[int]:
+        return list(self.member) if self.whole else self.graph.reachable(q, self.width, self.least)
+
+    def audit(self, q: np.ndarray) -> None:
+        """Widens the beam until sampled queries find all the links that brute force finds."""
+        probe = np.sort(self.gen.choice(len(q), min(self.p.audit, len(q)), replace=False))
+        truth = q[probe] @ self.x.T >= self.p.threshold
+        probe, truth = probe[truth.any(1)], truth[truth.any(1)]
+        while True:
+            hits = 0
+            for row, i in zip(truth, probe.tolist(), strict=True):
+                inside = np.zeros(len(self.x), bool)
+                for v in self.pivots(q[i]):
+                    inside[self.member[v]] = True
+                hits += int((row & inside).sum())
+            total = int(truth.sum())
+            if hits >= self.p.recall * total:
+                self.hits, self.total = self.hits + hits, self.total + total
+                return
+            if self.width < len(self.member):
+                self.width *= 2
+            else:
+                self.whole = True
+
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """The places in x of these rows of the table, -1 for those of other shards."""
+        at = np.minimum(np.searchsorted(self.rows, rows), len(self.rows) - 1)
+        return np.where(self.rows[at] == rows, self.order[at], -1)
+
+    def links(self, q: np.ndarray, qids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, Forest]:
+        """How many of the shard's vectors, itself aside, each query links with, and a forest of the links."""
+        counts, forest, own = np.zeros(len(q), np.int64), Forest(), self.places(rows)
+        self.audit(q)
+        # Queries whose search ends at the same pivots share a matrix product.
+        groups: dict[tuple[int, ...], list[int]] = {}
+        for i in range(len(q)):
+            groups.setdefault(tuple(sorted(self.pivots(q[i]))), []).append(i)
+        for pivots, asking in groups.items():
+            if pivots:
+                self._verify(np.array(asking), np.concatenate([self.member[v] for v in pivots]), q, qids, own, counts, forest)
+        return counts, forest
+
+    def _verify(self, asking, candidates, q, qids, own, counts, forest) -> None:
+        for a in range(0, len(asking), 512):
+            part = asking[a : a + 512]
+            for b in range(0, len(candidates), 8192):
+                other = candidates[b : b + 8192]
+                linked = q[part] @ self.x[other].T >= self.p.threshold
+                linked &= own[part][:, None] != other[None, :]
+                counts[part] += linked.sum(1)
+                if not linked.any():
+                    continue
+                r, c = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+                for i, j in zip(part[r].tolist(), other[linked[r].argmax(1)].tolist(), strict=True):
+                    forest.unite(int(qids[i]), int(self.ids[j]))
+                for j, i in zip(other[c].tolist(), part[linked[:, c].argmax(0)].tolist(), strict=True):
+                    forest.unite(int(qids[i]), int(self.ids[j]))
+                # a query that links with columns of several trees joins them
+                roots = np.array([forest.find(int(self.ids[j])) for j in other[c].tolist()])
+                sub = linked[np.ix_(r, c)]
+                for k, i in enumerate(part[r].tolist()):
+                    for root in np.unique(roots[sub[k]]).tolist():
+                        forest.unite(int(qids[i]), int(root))
 
 
 def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,38 +310,57 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _grow(p: Params):
     def run(key, table):
-        order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-        x, ids = _matrix(table.column("v"))[order], table.column("vec_id").to_numpy()[order]
-        blob = pickle.dumps((Graph(x, p), x, ids), 5)
-        return pa.table({"label": pa.array([key[0].as_py()], pa.string()), "dim": pa.array([key[1].as_py()], pa.int32()), "shard": pa.array([key[2].as_py()], pa.int64()), "graph": pa.array([blob], pa.binary())})
+        order = np.lexsort((table.column("row").to_numpy(), table.column("vec_id").to_numpy()))
+        x, ids, rows = _matrix(table.column("v"))[order], table.column("vec_id").to_numpy()[order], table.column("row").to_numpy()[order]
+        where = tuple(k.as_py() for k in key)
+        blob = pickle.dumps((where, Graph(x, p), x, ids, rows), 5)
+        return pa.table({"label": pa.array([where[0]], pa.string()), "dim": pa.array([where[1]], pa.int32()), "shard": pa.array([where[2]], pa.int64()), "graph": pa.array([blob], pa.binary())})
 
     return run
 
 
+ASKED = "vec_id long, n_links long, root long, hits long, total long"
+
+
 def _ask(p: Params):
-    def run(key, left, right):
-        out: dict[str, list] = {"vec_id": [], "n_links": [], "root": []}
-        if left.num_rows and right.num_rows:
-            graph, x, ids = pickle.loads(right.column("graph")[0].as_py())
-            order = np.argsort(left.column("vec_id").to_numpy(), kind="stable")
-            q, qids = _matrix(left.column("v"))[order], left.column("vec_id").to_numpy()[order]
-            same = key[2].as_py() == key[3].as_py()
-            counts, forest = links_between(graph, x, ids, q, qids, same, p)
-            for v, n in zip(qids.tolist(), counts.tolist(), strict=True):
-                out["vec_id"].append(v)
-                out["n_links"].append(n)
-                out["root"].append(forest.find(v))
-            for v in set(forest.up) - set(qids.tolist()):
-                out["vec_id"].append(v)
-                out["n_links"].append(0)
-                out["root"].append(forest.find(v))
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+    """Over rows ordered by shard, its graph first. A row without vec_id has what the audits of a shard found."""
+
+    def told(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in ASKED.split(", ")])
+
+    def audits(shard: Shard | None) -> Iterator[pa.RecordBatch]:
+        if shard is not None:
+            yield told([[None], [None], [None], [shard.hits], [shard.total]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, where = None, None
+        for batch in batches:
+            for blob, rows in runs_of(batch, "graph"):
+                if blob is not None:
+                    yield from audits(shard)
+                    where, *parts = pickle.loads(blob)
+                    shard = Shard(*parts, p)
+                    del parts
+                if not rows.num_rows or shard is None:
+                    continue
+                mine = (rows.column("dim").to_numpy() == where[1]) & (rows.column("shard").to_numpy() == where[2])
+                rows = rows.filter(pc.and_(pa.array(mine), pc.equal(rows.column("label"), where[0])))
+                if not rows.num_rows:  # of a shard that holds no vector
+                    continue
+                qids = rows.column("vec_id").to_numpy()
+                counts, forest = shard.links(_matrix(rows.column("v")), qids, rows.column("row").to_numpy())
+                ids = qids.tolist()
+                more = list(set(forest.up) - set(ids))
+                none = [None] * (len(ids) + len(more))
+                yield told([ids + more, counts.tolist() + [0] * len(more), [forest.find(v) for v in ids + more], none, none])
+        yield from audits(shard)
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, p: Params = Params(), vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept), a row per row of vectors.
+    """(vec_id, n_links, component_id, kept), a row per row of vectors; then audit_hits and audit_links, alike in all rows:
+    how many links the recall audits found in all, and how many there were.
 
     Only vectors of equal, non-null labels are compared, and of equal length. Vectors that are null, empty or zero or
     hold null or non-finite components link with nothing. Rows that repeat an id link with each other if their vectors do
@@ -325,23 +369,25 @@ def near_duplicates(vectors: DataFrame, p: Params = Params(), vec_id: str = "vec
     spark = vectors.sparkSession
     scratch = Scratch(spark, "hnsw")
     slim = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"), F.col(label).cast("string").alias("label"))
-    points = scratch.save(slim.mapInArrow(_able, "vec_id long, label string, dim int, v binary"))
-    sizes = points.groupBy("label", "dim").agg(F.ceil(F.count("*") / p.shard_rows).cast("long").alias("shards"))
-    points = scratch.save(points.join(F.broadcast(sizes), ["label", "dim"]) if sizes.count() <= 100_000 else points.join(sizes, ["label", "dim"]))
-    shard = F.pmod(F.xxhash64("vec_id"), "shards")
-    dealt = points.withColumn("shard", shard)
-    graphs = scratch.save(dealt.groupBy("label", "dim", "shard").applyInArrow(_grow(p), "label string, dim int, shard long, graph binary"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asking = dealt.withColumnRenamed("shard", "block").withColumn("shard", each("shards"))
-    many = sizes.select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("shards").alias("n"))
-    told = graphs.join(many, graphs["label"].eqNullSafe(F.col("l")) & (graphs["dim"] == F.col("d")))
-    told = told.select("l", "d", F.col("shard").alias("s"), each("n").alias("b"), "graph")
-    asking = asking.select("label", "dim", "shard", "block", "vec_id", "v")
-    by = ("label", "dim", "shard", "block")
-    found = scratch.save(asking.groupBy(*by).cogroup(told.groupBy("l", "d", "s", "b")).applyInArrow(_ask(p), "vec_id long, n_links long, root long"))
+    points = slim.mapInArrow(_able, "vec_id long, label string, dim int, v binary")
+    points = scratch.save(points.withColumn("row", F.monotonically_increasing_id()))
+    sizes = scratch.save(points.groupBy("label", "dim").agg(F.ceil(F.count("*") / p.shard_rows).cast("long").alias("shards")))
+    dealt = points.join(F.broadcast(sizes) if bounded_broadcast_rows(sizes, BROADCAST_LABELS) else sizes, ["label", "dim"])
+    home = F.pmod(F.xxhash64("vec_id", "row"), "shards")
+    graphs = scratch.save(dealt.withColumn("shard", home).groupBy("label", "dim", "shard").applyInArrow(_grow(p), "label string, dim int, shard long, graph binary"))
+    none = lambda kind: F.lit(None).cast(kind)
+    asking = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("label", "dim", "shard", none("binary").alias("graph"), "vec_id", "row", "v")
+    both = graphs.select("label", "dim", "shard", "graph", none("long").alias("vec_id"), none("long").alias("row"), none("binary").alias("v")).unionByName(asking)
+    both = both.repartition("label", "dim", "shard").sortWithinPartitions("label", "dim", "shard", F.col("graph").isNull())
+    found = scratch.save(both.mapInArrow(_ask(p), ASKED))
+    hits, total = found.where("vec_id is null").agg(F.sum("hits"), F.sum("total")).first()
+    if (hits or 0) < p.recall * (total or 0):
+        raise RuntimeError(f"recall audits found {hits} of {total} links")
+    found = found.where("vec_id is not null")
     links = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     parts = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")), scratch)
     own = links.join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = slim.select("vec_id").join(own, "vec_id", "left")
     low = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), low.alias("component_id"), F.col("vec_id").eqNullSafe(low).alias("kept"))
+    audit = [F.lit(hits or 0).cast("long").alias("audit_hits"), F.lit(total or 0).cast("long").alias("audit_links")]
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), low.alias("component_id"), F.col("vec_id").eqNullSafe(low).alias("kept"), *audit)

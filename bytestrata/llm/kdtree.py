@@ -3,7 +3,10 @@
 A shard's tree splits at the median of its widest dimension and keeps a tight box for every node. A query visits nodes
 best first by the largest inner product that their box allows and stops where that falls below its k-th score so far.
 Each query is first searched in one home shard; its k-th score there goes with it to all others, which therefore prune
-from the start. Vectors, trees and queries are dealt by hashes of ids; tasks exchange at most k rows per query and shard.
+from the start, in whole numbers throughout. Vectors and queries are dealt by hashes. Each tree goes to one task once, as
+the first row of its shard's run of rows, and the queries stream past it in batches; tasks exchange at most k rows per
+query and shard. The bounds of all nodes are one matrix product a batch: there are two nodes for ``leaf`` points, so that
+they cost a fiftieth of the scores they save.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ class Params:
     k: int = 5
     shard_rows: int = 16_384
     leaf: int = 96
-    query_block: int = 2048
     scale: float = 256.0
 
 
@@ -59,15 +61,18 @@ class Tree:
         self.ids, self.points = ids[order], points[order]
         self.lo, self.hi, self.kids, self.spans = np.array(lo), np.array(hi), kids, spans
 
-    def search(self, qids: np.ndarray, queries: np.ndarray, floors: list[float], k: int) -> Iterator[list[tuple[int, int]]]:
-        """For each query the k best (score, id) of other ids with a score of at least its floor."""
+    def search(self, qids: np.ndarray, queries: np.ndarray, floors: list[int | None], k: int) -> Iterator[list[tuple[int, int]]]:
+        """For each query the k best (score, id) of other ids with a score of at least its floor (None: any)."""
         big = int(np.abs(self.points).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, self.points.shape[1])
-        kind = np.float64 if big < SAFE else object
+        exact = big < SAFE
+        kind = np.float64 if exact else object
         points, lo, hi, queries = (x.astype(kind) for x in (self.points, self.lo, self.hi, queries))
         bounds = np.maximum(queries, 0) @ hi.T + np.minimum(queries, 0) @ lo.T
+        if not exact:
+            bounds = np.clip(bounds, -(2**63), 2**63 - 1)
         for qid, q, bound, floor in zip(qids.tolist(), queries, bounds, floors, strict=True):
             best: list[tuple[int, int]] = []
-            kth = floor
+            kth = -math.inf if floor is None else floor
             heap = [(-bound[0], 0)]
             while heap:
                 up, node = heapq.heappop(heap)
@@ -81,6 +86,8 @@ class Tree:
                     continue
                 a, b = self.spans[node]
                 scores = points[a:b] @ q
+                if not exact:
+                    scores = np.clip(scores, -(2**63), 2**63 - 1)
                 for i in np.flatnonzero(scores >= kth):
                     if self.ids[a + i] != qid:
                         best.append((-int(scores[i]), int(self.ids[a + i])))
@@ -113,32 +120,46 @@ def _whole(p: Params):
     return run
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<i8") for x in column.to_pylist()])
 
 
 def _plant(p: Params):
     def run(key, table):
         tree = Tree(table.column("vec_id").to_numpy(), _matrix(table.column("v")), p.leaf)
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
+        where = (key[0].as_py(), key[1].as_py())
+        return pa.table({"dim": pa.array([where[0]], pa.int32()), "shard": pa.array([where[1]], pa.int64()), "tree": pa.array([pickle.dumps((where, tree), 5)], pa.binary())})
 
     return run
 
 
+def runs_of(batch: pa.RecordBatch, blob: str) -> Iterator[tuple[bytes | None, pa.RecordBatch]]:
+    """The rows of a batch between those that hold a blob, each run with the blob before it (None: one of an earlier batch)."""
+    held = batch.column(blob)
+    marks = [] if held.null_count == len(held) else np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False)).tolist()
+    for mark, to in zip([-1, *marks], [*marks, batch.num_rows], strict=True):
+        yield (held[mark].as_py() if mark >= 0 else None), batch.slice(mark + 1, to - mark - 1)
+
+
 def _search(p: Params):
-    def run(left, right):
-        queries, trees = left, right
-        cols = [[], [], []]
-        if queries.num_rows and trees.num_rows:
-            tree = pickle.loads(trees.column("tree")[0].as_py())
-            ids = queries.column("query_id").to_numpy()
-            floors = [-math.inf if f is None else f for f in queries.column("floor").to_pylist()]
-            for qid, found in zip(ids.tolist(), tree.search(ids, _matrix(queries.column("v")), floors, p.k), strict=True):
-                for score, vid in found:
-                    cols[0].append(qid)
-                    cols[1].append(vid)
-                    cols[2].append(max(-(2**63), min(2**63 - 1, score)))
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+    """Over rows ordered by shard, its tree first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, where = None, None
+        for batch in batches:
+            for blob, rows in runs_of(batch, "tree"):
+                if blob is not None:
+                    where, tree = pickle.loads(blob)
+                if not rows.num_rows or tree is None:
+                    continue
+                mine = (rows.column("dim").to_numpy() == where[0]) & (rows.column("shard").to_numpy() == where[1])
+                rows = rows.filter(pa.array(mine))
+                if not rows.num_rows:
+                    continue
+                ids = rows.column("query_id").to_numpy()
+                found = tree.search(ids, _matrix(rows.column("v")), rows.column("floor").to_pylist(), p.k)
+                flat = [(qid, vid, score) for qid, best in zip(ids.tolist(), found, strict=True) for score, vid in best]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -157,21 +178,25 @@ def top_k(vectors: DataFrame, queries, p: Params = Params(), vec_id: str = "vec_
     points = scratch.save(slim.select("vec_id", "e").mapInArrow(_whole(p), schema))
     n = points.count()
     shards = max(1, -(-n // p.shard_rows))
-    home = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(shards))
-    trees = scratch.save(points.withColumn("shard", home(1)).groupBy("dim", "shard").applyInArrow(_plant(p), "dim int, shard long, tree binary"))
+    shard = F.pmod(F.xxhash64(F.lit(1), "vec_id", F.monotonically_increasing_id()), F.lit(shards))
+    trees = scratch.save(points.withColumn("shard", shard).groupBy("dim", "shard").applyInArrow(_plant(p), "dim int, shard long, tree binary"))
     asking = slim.where("asks").select("vec_id", "e").mapInArrow(_whole(p), schema).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    asking = scratch.save(asking.withColumn("home", home(2)))
-    blocks = max(1, -(-asking.count() // p.query_block))
-    q = asking.select(F.col("vec_id").alias("query_id"), "dim", "v", "home", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(blocks)).alias("block"))
-    found_schema = "query_id long, vec_id long, score long"
-    by = ("dim", "shard", "block")
-    spread = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    search = lambda left: left.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(_search(p), found_schema)
-    first = scratch.save(search(q.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("double"))))
+    asking = scratch.save(asking.withColumn("home", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(shards))))
+    q = asking.select(F.col("vec_id").alias("query_id"), "dim", "v", "home")
+    columns = "dim int, shard long, tree binary, query_id long, v binary, floor long"
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def search(rows: DataFrame) -> DataFrame:
+        none = lambda kind: F.lit(None).cast(kind)
+        both = trees.select("dim", "shard", "tree", none("long").alias("query_id"), none("binary").alias("v"), none("long").alias("floor"))
+        both = both.unionByName(rows.withColumn("tree", none("binary")).select(*names)).repartition("dim", "shard")
+        return both.sortWithinPartitions("dim", "shard", F.col("tree").isNull()).mapInArrow(_search(p), "query_id long, vec_id long, score long")
+
+    first = scratch.save(search(q.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("long"))))
     if shards == 1:
         found = first
     else:
-        floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("n")).where(F.col("n") == p.k)
+        floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == p.k)
         others = q.join(floors.select("query_id", "floor"), "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
         found = first.unionByName(search(others.where("shard <> home")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -180,9 +205,9 @@ def top_k(vectors: DataFrame, queries, p: Params = Params(), vec_id: str = "vec_
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5

@@ -278,9 +278,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: bool = Fa
     """docs' columns other than text (with carry, text too), and lang_pred and score.
 
     Null text, and text without a letter, is ``und`` with score 0, as is all text for a model without languages. Rows
-    are independent: ties, repeats and other columns, whatever their names, change nothing.
+    are independent: repeats and other columns, whatever their names, change nothing; columns named lang_pred and score are
+    replaced. Of languages with equal scores the first by name is predicted.
     """
-    own = [c for c in docs.columns if c != text]
+    own = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(own)), F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     keys = [f"_{i}" for i in range(len(own))] + ["text"] * carry

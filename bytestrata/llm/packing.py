@@ -3,8 +3,11 @@
 Each document is tokenized whole; only those longer than a sequence are cut, into full pieces after a first one that may
 be shorter. Full pieces fill a sequence alone. The other pieces, as lengths without their ids, are dealt evenly to shards
 of bounded size; a shard packs by best fit, longest first, then exchanges pieces between underfull sequences: one for
-one, two for one, or a move. Every change increases the sum of squared fills, and the emptiest sequences run out. Each
-shard can end with one sequence more than the whole table would need, 1 in thousands.
+one, two for one, or a move. Every change increases the sum of squared fills, and the emptiest sequences run out. The
+search looks at all pieces of both sequences (one of each length stands for its like) and at all underfull sequences, the
+emptiest against the fullest first; it ends when no pair of them can change, when as few are left as the lengths allow, or
+after ``search_pairs`` pairs, a bound on effort that leaves every piece placed. Each shard can end with one sequence more
+than the whole table would need, 1 in thousands.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ class Params:
     capacity: int = 2048
     shard_pieces: int = 40_000
     end_id: int = 0
-    search_bins: int = 200
+    search_pairs: int = 200_000
     vocabulary: str | None = None
 
 
@@ -50,7 +53,7 @@ def _tokenizer(p: Params, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(p.vocabulary or default_vocabulary())
         for batch in slices(batches, "text"):
-            ids, bounds = enc.encode(batch.column("text"), p.end_id, added=True)
+            ids, bounds = enc.encode(batch.column("text"), p.end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             rows = [(i, j, s, n, zlib.crc32(raw[4 * (a + s) : 4 * (a + s + n)])) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) for j, (s, n) in enumerate(cut(b - a, p.capacity))]
             who, *rest = (pa.array(x) for x in zip(*rows, strict=True))
@@ -88,46 +91,105 @@ class Bins:
             mask |= 1 << room
 
     def improve(self, lengths: np.ndarray, most: int) -> None:
-        """Empties the emptiest bins into the other underfull ones, while anything changes and a bin could be saved."""
-        need = -(-int(lengths.sum()) // self.capacity)
-        while sum(1 for f in self.fill if f) > need:
-            under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])[:most]
-            if len(under) < 2 or not any(self._step(a, b, lengths) for k, a in enumerate(under) for b in reversed(under[k + 1 :])):
-                break
+        """Empties the emptiest bins into the other underfull ones. most: pairs of bins looked at."""
+        need, sizes = least_bins(lengths, self.capacity), lengths.tolist()
+        held = [sorted({sizes[i] for i in x}) for x in self.items]
+        live, changed = sum(1 for f in self.fill if f), True
+        while changed and live > need and most > 0:
+            changed = False
+            under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
+            for k, a in enumerate(under):
+                for b in reversed(under[k + 1 :]):
+                    if not 0 < self.fill[a] <= self.fill[b] < self.capacity:
+                        continue
+                    most -= 1
+                    found = best_change(self._twice(a, held[a], sizes), self._twice(b, held[b], sizes), self.capacity - self.fill[b])
+                    if found:
+                        self._exchange(a, b, *found, sizes)
+                        held[a], held[b] = (sorted({sizes[i] for i in self.items[x]}) for x in (a, b))
+                        live -= not self.fill[a]
+                        changed = True
+                    if live <= need or most <= 0:
+                        break
+                if live <= need or most <= 0:
+                    break
         live = [b for b, f in enumerate(self.fill) if f]
         self.items, self.fill = [self.items[b] for b in live], [self.fill[b] for b in live]
 
-    def _exchange(self, a: int, b: int, out: list[int], back: list[int], gain: int) -> bool:
-        self.items[a] = [i for i in self.items[a] if i not in out] + back
-        self.items[b] = [i for i in self.items[b] if i not in back] + out
-        self.fill[a] -= gain
-        self.fill[b] += gain
-        return True
-
-    def _step(self, a: int, b: int, lengths: np.ndarray) -> bool:
-        """One change that moves tokens from a to b, which is at least as full, if there is one: the largest found."""
-        room = self.capacity - self.fill[b]
-        x, y = self.items[a], self.items[b]
-        n = lambda i: int(lengths[i])
-        best: tuple[int, list[int], list[int]] = (0, [], [])
-        outs = [[i] for i in x] + [[i, j] for k, i in enumerate(x[:40]) for j in x[k + 1 : 40]]
-        backs = [[]] + [[i] for i in y] + [[i, j] for k, i in enumerate(y[:40]) for j in y[k + 1 : 40]]
-        for out in outs:
-            size = sum(map(n, out))
-            for back in backs:
-                if len(out) + len(back) > 3:
-                    continue
-                gain = size - sum(map(n, back))
-                if best[0] < gain <= room:
-                    best = (gain, out, back)
-        return bool(best[0]) and self._exchange(a, b, best[1], best[2], best[0])
+    def _twice(self, b: int, distinct: list[int], sizes: list[int]) -> np.ndarray:
+        """The lengths in a bin, each at most twice, as many as an exchange can take of one."""
+        own = [sizes[i] for i in self.items[b]]
+        return np.array([x for x in distinct for _ in range(min(2, own.count(x)))], np.int64)
+
+    def _exchange(self, a: int, b: int, out: list[int], back: list[int], sizes: list[int]) -> None:
+        def taken(bin_: int, wanted: list[int]) -> list[int]:
+            found = []
+            for x in wanted:
+                i = next(i for i in self.items[bin_] if sizes[i] == x)
+                self.items[bin_].remove(i)
+                found.append(i)
+            return found
+
+        there, here = taken(a, out), taken(b, back)
+        self.items[a] += here
+        self.items[b] += there
+        self.fill[a] -= sum(out) - sum(back)
+        self.fill[b] += sum(out) - sum(back)
+
+
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing goes below: for each limit, pieces over half a bin stand alone, and pieces from the
+    limit up to half fill at best what the others leave."""
+    count = np.bincount(lengths, minlength=capacity + 1)
+    tokens = count * np.arange(capacity + 1)
+    many, much = np.cumsum(count), np.cumsum(tokens)
+    half = capacity // 2
+    best = -(-int(tokens.sum()) // capacity)
+    for limit in range(1, half + 1):
+        large = int(many[capacity] - many[capacity - limit])
+        middle = int(many[capacity - limit] - many[half])
+        room = middle * capacity - int(much[capacity - limit] - much[half])
+        small = int(much[half] - much[limit - 1])
+        best = max(best, large + middle + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def best_change(x: np.ndarray, y: np.ndarray, room: int) -> tuple[list[int], list[int]] | None:
+    """One or two lengths of x for none, one or two of y (three pieces at most) that move the most tokens, ``room`` at most."""
+    one, two = ({int(v): [int(v)] for v in z} for z in (x, y))
+    pairs = []
+    for z in (x, y):
+        i, j = np.triu_indices(len(z), 1)
+        pairs.append((z[i] + z[j], i, j))
+    best: tuple[int, list[int], list[int]] = (0, [], [])
+
+    def search(outs: np.ndarray, backs: np.ndarray, name) -> None:
+        nonlocal best
+        if not len(outs) or not len(backs):
+            return
+        order = np.argsort(backs, kind="stable")
+        at = np.searchsorted(backs[order], outs - room)
+        gain = np.where(at < len(backs), outs - backs[order[np.minimum(at, len(backs) - 1)]], 0)
+        k = int(gain.argmax())
+        if gain[k] > best[0]:
+            best = (int(gain[k]), *name(k, int(order[at[k]])))
+
+    px, py = pairs
+    pick = lambda z, p, k: [int(z[p[1][k]]), int(z[p[2][k]])]
+    nothing = np.zeros(1, np.int64)
+    search(x, nothing, lambda k, _: (one[int(x[k])], []))
+    search(px[0], nothing, lambda k, _: (pick(x, px, k), []))
+    search(x, y, lambda k, m: (one[int(x[k])], two[int(y[m])]))
+    search(px[0], y, lambda k, m: (pick(x, px, k), two[int(y[m])]))
+    search(x, py[0], lambda k, m: (one[int(x[k])], pick(y, py, m)))
+    return best[1:] if best[0] else None
 
 
 def pack(lengths: np.ndarray, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each piece and its place there."""
     bins = Bins(p.capacity)
     bins.best_fit(lengths)
-    bins.improve(lengths, p.search_bins)
+    bins.improve(lengths, p.search_pairs)
     number, place = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for b, items in enumerate(bins.items):
         at = 0
@@ -146,15 +208,18 @@ def _packer(p: Params):
     return run
 
 
+PLACED = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pack_documents(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """A row per piece: docs' columns other than text, then piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Rows that repeat are packed each for itself. Other columns are carried
-    along, whatever their names.
+    along, whatever their names; those named like the columns added here are replaced.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    own = [c for c in docs.columns if c != text]
+    own = [c for c in docs.columns if c not in (text, *PLACED)]
     keys = [f"_{i}" for i in range(len(own))]
     slim = docs.select(*(F.col(c).alias(k) for c, k in zip(own, keys, strict=True)), F.col(text).cast("string").alias("text"))
     schema = "".join(f"{k} {slim.schema[k].dataType.simpleString()}, " for k in keys) + "piece int, start long, length long, ids_crc32 long"

@@ -98,7 +98,7 @@ def resample(docs: DataFrame, target: Column, labelled: Column, p: Params = Para
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    own = [c for c in docs.columns if c != text]
+    own = [c for c in docs.columns if c not in (text, "log_weight", "selected")]
     slim = docs.select(
         *(F.col(c).alias(f"_{i}") for i, c in enumerate(own)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.coalesce(target, F.lit(False)).alias("target"), F.coalesce(labelled, F.lit(False)).alias("labelled"), F.xxhash64(F.lit(p.seed), F.col(doc_id)).alias("noise"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("tie"),

@@ -6,6 +6,7 @@ white space, so the words are those of ``[^\\x20\\x09-\\x0D]+`` over code points
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +14,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_GEN = np.random.Generator(np.random.PCG64(20240607))
-BYTE_CODE = _GEN.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-BASE = U64(0x9E3779B97F4A7C15 | 1)
-INVERSE = U64(pow(int(BASE), -1, 2**64))
+STEP = U64(0x9E3779B97F4A7C15)
+SEED = U64(0x5851F42D4C957F2D)
+#: Of a value of 8 bytes, the first 0 to 8.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+LONG = 64
+RUN = 1 << 14
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-SPAN = 1 << 21
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,17 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64, for i below n at least."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        n = max(n, SPAN + 1)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
-
-
 class Words:
     """Words of a run of texts. first[i]:first[i+1] are text i's; data is lower-cased bytes."""
 
@@ -70,12 +60,6 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers(len(data))[0][: len(data)], out=out[1:])
-    return out
-
-
 def words(texts: pa.Array, hashed: bool = True, fold: bool = True, kinds: np.ndarray | None = None) -> Words:
     """Words of texts; with ``kinds``, maximal runs of bytes of one non-zero kind instead. fold: A-Z count as a-z."""
     raw, off = raw_bytes(texts)
@@ -91,20 +75,49 @@ def words(texts: pa.Array, hashed: bool = True, fold: bool = True, kinds: np.nda
     return Words(data, starts, ends, first, span_hashes(data, starts, ends) if hashed else None)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros after the end; a view of a padded copy."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans in order of their places; equal bytes give equal hashes."""
+    """64-bit hashes of spans; equal bytes give equal hashes. Eight bytes a step, each mixed into the state by a bijection
+    that is not linear in it; spans over LONG bytes by BLAKE2b."""
     hashes = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + SPAN, "right")))
-        sums = prefix_sums(data[base : ends[to - 1]])
-        s = starts[at:to] - base
-        hashes[at:to] = mix((sums[ends[at:to] - base] - sums[s]) * powers(len(sums))[1][s])
-        at = to
+    view = eights(data)
+    for a in range(0, len(starts), RUN):
+        s, left = starts[a : a + RUN], ends[a : a + RUN] - starts[a : a + RUN]
+        state = hashes[a : a + RUN]
+        x = view[s] & FIRST_BYTES[np.minimum(left, 8)]
+        state[:] = mix((x ^ (left.astype(np.uint64) * STEP)) * STEP + SEED)
+        who = np.flatnonzero(left > 8)
+        for i in who[left[who] > LONG].tolist():
+            state[i] = int.from_bytes(hashlib.blake2b(data[s[i] : s[i] + left[i]].tobytes(), digest_size=8).digest(), "little")
+        who = who[left[who] <= LONG]
+        done = 8
+        while len(who):
+            x = view[s[who] + done] & FIRST_BYTES[np.minimum(left[who] - done, 8)]
+            state[who] = mix((state[who] ^ x) * STEP + SEED)
+            done += 8
+            who = who[left[who] > done]
     return hashes
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of the span of ``other`` beside it."""
+    same = (ends - starts) == (to - at)
+    left_view, right_view = eights(data), eights(other)
+    who = np.flatnonzero(same & (ends > starts))
+    a, b, left = starts[who], at[who], (ends - starts)[who]
+    while len(who):
+        differ = ((left_view[a] ^ right_view[b]) & FIRST_BYTES[np.minimum(left, 8)]) != 0
+        same[who[differ]] = False
+        more = (left > 8) & ~differ
+        who, a, b, left = who[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about ``most`` bytes of text; a longer text stands alone."""
     for batch in batches:

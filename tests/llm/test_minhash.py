@@ -68,6 +68,15 @@ def test_rest_of_large_buckets(spark, monkeypatch):
     assert got(spark, rows, p) == brute(rows, p)
 
 
+def test_words_made_to_defeat_polynomial_hashes(spark):
+    t, u = "a", "b"
+    for _ in range(11):
+        t, u = t + u, u + t
+    rows = [(1, f"{t} {t} {t}"), (2, f"{u} {u} {u}"), (3, f"{t} {t} {t}")]
+    p = minhash.Params(shingle=3, num=85)
+    assert got(spark, rows, p) == brute(rows, p) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+
+
 def test_empty_table_and_null_ids(spark):
     assert got(spark, [], minhash.Params()) == []
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c")], "doc_id long, text string")
