@@ -2,11 +2,11 @@
 
 1. One pass over the texts gives each document's shingle count, a 128-bit fingerprint of its shingle set and the keys
    of its bands (runs of minima). Documents with equal sets become one class before any pair is looked at.
-2. In each band bucket the smallest class is the centre; every other class is verified against it on full sets. A
-   bucket of m classes gives m - 1 pairs, so large groups of copies stay linear.
-3. Buckets whose other classes still lie in different components get further centres, a few rounds long, each verified
-   against what is not in its component yet, and then an exact pass for the rest: small ones by pairs, large ones by
-   blocks against blocks, each block task returning a spanning forest of its links.
+2. Band buckets with the same members count once. In each the smallest class is the centre; every other class is verified
+   against it on full sets. A bucket of m classes gives m - 1 pairs, so large groups of copies stay linear.
+3. One aggregate tells which buckets still hold classes of different components. Those of up to BLOCK classes are compared
+   whole in one task; larger ones get CENTRES more centres, each verified against what is not in its component yet, and
+   what is open after that is compared by blocks against blocks. Such tasks return a spanning forest of their links.
 4. Components by alternating large-star and small-star.
 
 The band count is chosen so that a pair at the threshold misses every band with probability under 1e-6.
@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytestrata.llm.components import stars
-from bytestrata.llm.scratch import Scratch, bounded_broadcast_rows
+from bytestrata.llm.scratch import Scratch, bounded, fresh
 from bytestrata.llm.textkit import U64, mix, runs_reduce, shingle_sets, slices, words
 
-SMALL_BUCKET = 16
 BLOCK = 128
-ROUNDS = 3
-BROADCAST_IDS = 500_000
+CENTRES = 3
+BROADCAST_ROWS = 500_000
 CACHE_RUN = 1 << 15
 
 
@@ -169,11 +168,11 @@ def block_linker(p: Params):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """pairs(u, v) whose full sets are similar enough."""
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
+    """(u, v) of the pairs(u, fu, v, fv) whose full sets are similar enough."""
+    a = sets.select(F.col("id").alias("u"), F.col("fp").alias("fu"), F.col("shingles").alias("su"))
+    b = sets.select(F.col("id").alias("v"), F.col("fp").alias("fv"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(b, "v").join(a, "u").where(p.den * both >= p.num * (F.size("su") + F.size("sv") - both)).select("u", "v")
+    return pairs.join(b, ["v", "fv"]).join(a, ["u", "fu"]).where(p.den * both >= p.num * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
 def _near_size(p: Params, a: str, b: str):
@@ -186,26 +185,38 @@ def _edges(comps: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
-def _inside(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "fp", "n", F.coalesce("component", "id").alias("comp"))
-
-
-def _open(inside: DataFrame) -> DataFrame:
-    """Buckets whose members lie in more than one component, with their size and a fingerprint of their members."""
-    who = F.sum(F.xxhash64("id", "fp").cast("decimal(38,0)")).alias("who")
-    return inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), who).where("lo <> hi")
-
-
-def _repeats(able: DataFrame, classes: DataFrame, fp: list[str], scratch: Scratch) -> DataFrame | None:
-    """Edges between each doc_id that repeats with different sets and the classes of its rows; None if there is none."""
-    differ = " or ".join(f"min({c}) <> max({c})" for c in fp)
-    again = scratch.save(able.groupBy("doc_id").agg(F.expr(differ).alias("differ")).where("differ").select("doc_id"))
-    if not again.limit(1).count():
-        return None
-    if bounded_broadcast_rows(again, BROADCAST_IDS):
-        again = F.broadcast(again)
-    own = able.join(again, "doc_id", "left_semi").join(classes, fp).where("doc_id <> rep")
-    return scratch.save(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct())
+def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """The members, with their component, of buckets whose members lie in more than one; how many of up to BLOCK and more."""
+    inside = members.join(bounded(comps, BROADCAST_ROWS).withColumnRenamed("node", "id"), "id", "left")
+    inside = scratch.save(inside.select("key", "id", "fp", "n", F.coalesce("component", "id").alias("comp")))
+    lots = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+    lots = scratch.save(lots.where("lo <> hi").select("key", "m"))
+    small, large = lots.agg(F.count_if(F.col("m") <= BLOCK), F.count_if(F.col("m") > BLOCK)).first()
+    return inside.join(bounded(lots, BROADCAST_ROWS), "key"), small, large
+
+
+def _further_centres(inside: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Links of large open buckets with CENTRES more of their members."""
+    large = inside.where(F.col("m") > BLOCK)
+    picks = [F.min_by(F.struct("id", "fp", "n", "comp"), F.xxhash64(F.lit(k), "id", "fp")).alias(f"c{k}") for k in range(CENTRES)]
+    lots = scratch.save(large.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES))))).alias("c")))
+    pairs = large.join(bounded(lots, BROADCAST_ROWS), "key").where("comp <> c.comp").where(_near_size(p, "n", "c.n"))
+    pairs = pairs.select(F.col("c.id").alias("u"), F.col("c.fp").alias("fu"), F.col("id").alias("v"), F.col("fp").alias("fv"))
+    return _verified(pairs.distinct(), sets, p)
+
+
+def _compared(inside: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Links between the members of open buckets that lie in different components, as forests: exact. A large bucket's
+    largest component is not compared with itself: its blocks meet the blocks of the others only."""
+    tops = inside.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("nx"))
+    tops = scratch.save(tops)
+    rows = inside.join(bounded(tops, BROADCAST_ROWS), "key").withColumn("x", F.col("comp") != F.col("top"))
+    rows = rows.withColumn("b", F.when(F.col("x"), F.pmod(F.xxhash64("id", "fp"), "nx")).otherwise(-1 - F.pmod(F.xxhash64("id", "fp"), "nb")))
+    meets = F.when(F.col("m") <= BLOCK, F.array(F.lit(0).cast("long"))).when(F.col("x"), F.sequence(-F.col("nb"), F.col("nx") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))
+    rows = rows.withColumn("b", F.when(F.col("m") <= BLOCK, 0).otherwise(F.col("b"))).withColumn("o", F.explode(meets))
+    rows = rows.select("key", "id", "fp", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    return rows.join(sets, ["id", "fp"]).groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +224,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
 
     Null, empty and white-space texts have no shingles and link with nothing. Rows that repeat a doc_id are one node
     whose links are those of all its rows. A null doc_id links with nothing; its component_id is null and it is kept.
-    Other columns of docs, whatever their names, are not read.
+    Other columns of docs, whatever their names, are not read. Links are confirmed on the full sets of 64-bit shingle
+    hashes: two different sets of a billion shingles in all differ in them but for a chance of one in 30.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -222,65 +234,47 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     able = signed.where("doc_id is not null and n_shingles > 0")
     fp = ["fp1", "fp2", "n_shingles"]
     classes = scratch.save(able.groupBy(*fp).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    differ = F.expr(" or ".join(f"min({c}) <> max({c})" for c in fp))
+    again = able.groupBy("doc_id").agg(F.count("*").alias("n"), differ.alias("differ"))
+    repeated, differing = again.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("differ"))).first()
+
     # Classes that share their smallest doc_id are one node; fp tells them apart where they are compared.
     rows = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), F.col("fp1").alias("fp"), F.col("n_shingles").alias("n"))
-    heads = rows.groupBy("key").agg(F.min(F.struct("id", "n", "fp")).alias("s"), F.count("*").alias("m"))
-    heads = scratch.save(heads.where("m > 1").select("key", F.col("s.id").alias("u"), F.col("s.fp").alias("fu"), F.col("s.n").alias("nu"), "m"))
-    members = scratch.save(rows.join(heads, "key").where("id <> u or fp <> fu"))
-    tested = members.where("id <> u").where(_near_size(p, "n", "nu")).select("u", F.col("id").alias("v")).distinct()
-    tested = scratch.save(tested)
-    needed = scratch.save(tested.select(F.col("u").alias("doc_id")).unionByName(members.select(F.col("id").alias("doc_id"))).distinct())
-    if bounded_broadcast_rows(needed, BROADCAST_IDS):
-        needed = F.broadcast(needed)
-    sets = slim.join(needed, "doc_id", "left_semi")
-    sets = scratch.save(sets.mapInArrow(set_maker(p), "id long, fp long, shingles array<long>"))
-    links = scratch.save(_verified(tested, sets, p))
-    same = _repeats(able, classes, fp, scratch)
-    comps = stars(links if same is None else links.unionByName(same), scratch)
-
-    # What lies in one bucket and still in different components, the pairs with its centre aside: first other centres,
-    # one per bucket and round, against what isn't in their component yet; then the exact pass for what stays open.
-    for turn in range(1, ROUNDS + 1):
-        inside = _inside(members, comps)
-        lots = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(turn), "id")).alias("c"))
-        lots = lots.where((F.col("m") > SMALL_BUCKET) & (F.col("lo") != F.col("hi"))).select("key", F.col("c.id").alias("c"), F.col("c.n").alias("nc"), F.col("c.comp").alias("cc"))
-        pairs = inside.join(lots, "key").where("comp <> cc").where(_near_size(p, "n", "nc"))
-        new = scratch.save(_verified(pairs.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct(), sets, p))
-        if not new.limit(1).count():
-            break
-        comps = stars(_edges(comps).unionByName(new), scratch)
-
-    inside = _inside(members, comps)
-    rest = scratch.save(inside.join(_open(inside).groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"), "key"))
-    small = rest.where(F.col("m") <= SMALL_BUCKET)
-    other = small.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-    pairs = small.select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu")).join(other, "key")
-    pairs = pairs.where("u < v and cu <> cv").where(_near_size(p, "nu", "nv")).select("u", "v").distinct()
-    more = _verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, p)
-
-    # A large bucket's largest component is not compared with itself: its blocks meet the blocks of the others only.
-    large = rest.where(F.col("m") > SMALL_BUCKET).select("key", "id", "fp", "comp")
-    tops = large.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
-    tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.count") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).alias("nx"))
-    large = large.join(tops, "key").withColumn("x", F.col("comp") != F.col("top"))
-    large = large.withColumn("b", F.when(F.col("x"), F.pmod(F.xxhash64("id", "fp"), "nx")).otherwise(-1 - F.pmod(F.xxhash64("id", "fp"), "nb")))
-    meets = F.when(F.col("x"), F.sequence(-F.col("nb"), F.col("nx") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))
-    large = large.withColumn("o", F.explode(meets)).select("key", "id", "fp", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    large = large.join(sets.dropDuplicates(["id", "fp"]), ["id", "fp"])
-    blocks = large.groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long")
-    more = scratch.save(more.unionByName(blocks))
-    final = stars(_edges(comps).unionByName(more), scratch) if more.limit(1).count() else comps
-
-    group = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*fp, F.coalesce("component", "rep").alias("c"))
-    group = scratch.save(group)
-    scratch.drop(sets, members, tested, rest, heads)
-    out = signed.select("doc_id", *fp).join(group, fp, "left")
-    low = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
+    who = F.sum(F.xxhash64("id", "fp").cast("decimal(38,0)")).alias("who")
+    heads = rows.groupBy("key").agg(F.min(F.struct("id", "n", "fp")).alias("s"), F.count("*").alias("m"), who).where("m > 1")
+    heads = heads.groupBy("m", "who", "s").agg(F.min("key").alias("key"))
+    heads = scratch.save(heads.select("key", F.col("s.id").alias("u"), F.col("s.fp").alias("fu"), F.col("s.n").alias("nu")))
+    members = scratch.save(rows.join(bounded(heads, BROADCAST_ROWS), "key").where("id <> u or fp <> fu"))
+    tested = members.where("id <> u").where(_near_size(p, "n", "nu")).select("u", "fu", F.col("id").alias("v"), F.col("fp").alias("fv")).distinct()
+    needed = scratch.save(heads.select(F.col("u").alias("doc_id")).unionByName(members.select(F.col("id").alias("doc_id"))).distinct())
+    sets = slim.join(bounded(needed, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(set_maker(p), "id long, fp long, shingles array<long>")
+    sets = scratch.save(sets.dropDuplicates(["id", "fp"]) if repeated else sets)
+    links = _verified(tested, sets, p)
+    if differing:  # each doc_id that repeats with different sets, and the classes of its rows
+        own = able.join(bounded(scratch.save(again.where("differ").select("doc_id")), BROADCAST_ROWS), "doc_id", "left_semi")
+        own = own.join(classes, fp).where("doc_id <> rep")
+        links = links.unionByName(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    comps = stars(links, scratch)
+
+    # What lies in one bucket and still in different components, the pairs with its centre aside.
+    members = members.select("key", "id", "fp", "n")
+    inside, small, large = _open(members, comps, scratch)
+    if large:
+        comps = stars(_edges(comps).unionByName(_further_centres(inside, sets, p, scratch)), scratch)
+        inside, small, large = _open(members, comps, scratch)
+    if small or large:
+        comps = stars(_edges(comps).unionByName(_compared(inside, sets, p, scratch)), scratch)
+
+    group = scratch.save(classes.where("copies > 1").select(*fp, "rep"))
+    scratch.drop(sets, inside, members)
+    out = signed.select("doc_id", *fp).join(bounded(group, BROADCAST_ROWS), fp, "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    out = out.join(bounded(comps, BROADCAST_ROWS), "node", "left")
+    low = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return out.select("doc_id", "n_shingles", low.alias("component_id"), F.col("doc_id").eqNullSafe(low).alias("kept"))
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """docs without the rows that near_duplicates() does not keep; of rows that repeat a doc_id, all or none stay."""
-    gone = near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-
+    name = fresh(docs, "gone")
+    gone = Scratch(docs.sparkSession, "kept").save(near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bounded(gone, BROADCAST_ROWS), docs["doc_id"] == F.col(name), "left_anti")

@@ -6,8 +6,9 @@ its siblings, and only what none of them can take reaches the siblings of the no
 root down with each subtree's capacity, in closed form: children in order of capacity over weight, running sums.
 
 A leaf then takes as many whole epochs as its budget holds and a prefix of one more, in an order that a hash of seed,
-epoch and document id gives. Running sums of tokens are split into hash ranges, so that no leaf, however large, is
-gathered in one task.
+epoch and document id gives. Where the prefix ends is found on a slim table of paths, ids and token counts: token sums of
+256 hash ranges a leaf, then of 256 ranges of the range in which the budget runs out, until few rows are left there. The
+documents themselves are filtered by their leaf's last hash, and never shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytestrata.llm.scratch import Scratch, bounded_broadcast_rows
+from bytestrata.llm.scratch import Scratch, bounded, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,7 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Params:
     """levels: columns from the root down. weights: of a level's values; missing ones have ``default``. budget: tokens in
-    all, as a share of the table's. epochs: the most often a document can be taken."""
+    all, as a share of the table's. epochs: the most often a document can be taken. range_rows: a leaf's range is split no
+    further when it has at most so many rows."""
 
     levels: tuple[str, ...] = ("domain", "lang", "source")
     weights: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -33,7 +35,7 @@ class Params:
     budget: float = 1.0
     epochs: int = 1
     seed: int = 42
-    digits: int = 3
+    range_rows: int = 20_000
     broadcast_leaves: int = 100_000
 
 
@@ -50,10 +52,10 @@ def _weight(p: Params, level: str) -> Column:
 
 
 def budgets(leaves: DataFrame, p: Params) -> DataFrame:
-    """leaves(levels..., tokens) -> the same with ``budget``, a whole number of tokens."""
-    df = leaves.withColumn("cap", (F.col("tokens") * p.epochs).cast("double"))
-    above = F.lit(p.budget) * F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    df = df.withColumn("budget", above.cast("double"))
+    """leaves(levels..., tokens) -> the same with ``budget``, a whole number of tokens. The children of one node are sorted in
+    one task."""
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    df = leaves.withColumn("cap", (F.col("tokens") * p.epochs).cast("double")).withColumn("budget", F.lit(float(p.budget * total)))
     for depth in range(1, len(p.levels) + 1):
         path, parent = list(p.levels[:depth]), list(p.levels[: depth - 1])
         child = df.groupBy(*path).agg(F.sum("cap").alias("c"), F.first("budget").alias("b")).withColumn("w", _weight(p, path[-1]))
@@ -71,37 +73,60 @@ def budgets(leaves: DataFrame, p: Params) -> DataFrame:
     return df.select(*p.levels, "tokens", F.floor("budget").cast("long").alias("budget"))
 
 
+def _last_taken(slim: DataFrame, plan: DataFrame, path: list[str], p: Params, scratch: Scratch) -> DataFrame:
+    """(path..., last_h, last_n) of each leaf that takes a part of an epoch: its rows up to this hash and token count."""
+    wanted = plan.where((F.col("full") < p.epochs) & (F.col("rest") > 0)).select(*path, "full", "rest")
+    rows = slim.join(bounded(scratch.save(wanted), p.broadcast_leaves), path).withColumn("h", _order(p, F.col("full"), F.col("id")))
+    inside, depth = rows.withColumns({"prefix": F.lit(""), "before": F.lit(0).cast("long")}), 0
+    while True:
+        depth += 2
+        ranges = inside.groupBy(*path, "rest", "before", F.left("h", F.lit(depth)).alias("prefix")).agg(F.sum("n").alias("s"), F.count("*").alias("rows"))
+        upto = F.col("before") + F.sum("s").over(Window.partitionBy(*path).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
+        crossed = ranges.withColumn("upto", upto).where("upto > rest").groupBy(*path).agg(F.min(F.struct("prefix", (F.col("upto") - F.col("s")).alias("before"), "rows")).alias("c"))
+        crossed = scratch.save(crossed.select(*path, F.col("c.prefix").alias("prefix"), F.col("c.before").alias("before"), F.col("c.rows").alias("rows")))
+        most = crossed.agg(F.max("rows")).first()[0] or 0
+        inside = rows.join(bounded(crossed, p.broadcast_leaves), path).where(F.left("h", F.lit(depth)) == F.col("prefix"))
+        if most <= p.range_rows or depth >= 32:
+            break
+    same = inside.groupBy(*path, "rest", "before", "prefix", "h", "n").agg(F.sum("n").alias("s"))
+    upto = F.col("before") + F.sum("s").over(Window.partitionBy(*path).orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0))
+    taken = same.withColumn("upto", upto).groupBy(*path, "prefix").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("h", "n"))).alias("c"))
+    return taken.select(*path, F.coalesce("c.h", "prefix").alias("last_h"), F.coalesce("c.n", F.lit(-1)).cast("long").alias("last_n"))
+
+
+def _order(p: Params, epoch: Column, doc_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(p.seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
 def mix(docs: DataFrame, p: Params, tokens: Column, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that the budgets take, with n_tokens and epoch (from 0), a row for each time.
 
     Null values of a level count as the empty one. Documents of 0 tokens go with their leaf's order and cost nothing.
-    Rows that repeat an id are ordered by their tokens, then arbitrarily. An empty table gives no row. Columns of docs
-    that begin with "_mix_" are not allowed; other names are free.
+    Rows that repeat an id are ordered by their tokens; those equal in both go together, if all fit. An empty table gives
+    no row. Columns of docs named n_tokens and epoch are replaced; other names are free. ``tokens`` is a Column of docs
+    and is not null.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = docs.columns
-    level = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_mix_{i}") for i, c in enumerate(p.levels)]
-    rows = docs.select("*", *level, tokens.alias("_mix_n"))
-    path = [f"_mix_{i}" for i in range(len(p.levels))]
-    leaves = rows.groupBy(*path).agg(F.sum("_mix_n").alias("tokens")).withColumnsRenamed(dict(zip(path, p.levels, strict=True)))
-    plan = scratch.save(budgets(scratch.save(leaves), p))
+    own = [c for c in docs.columns if c not in ("n_tokens", "epoch")]
+    path = [f"l{i}" for i in range(len(p.levels))]
+    level = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(p.levels, path, strict=True)]
+    slim = scratch.save(docs.select(*level, F.col(doc_id).cast("string").alias("id"), tokens.cast("long").alias("n")))
+    leaves = scratch.save(slim.groupBy(*path).agg(F.sum("n").alias("tokens")).withColumnsRenamed(dict(zip(path, p.levels, strict=True))))
+    if leaves.count() <= p.broadcast_leaves:
+        leaves = leaves.coalesce(1)
     whole = F.when(F.col("tokens") > 0, F.least(F.lit(p.epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(0)
-    plan = plan.select(*(F.col(c).alias(n) for c, n in zip(p.levels, path, strict=True)), whole.cast("long").alias("_mix_full"), (F.col("budget") - whole * F.col("tokens")).cast("long").alias("_mix_left"))
-    if bounded_broadcast_rows(plan, p.broadcast_leaves):
-        plan = F.broadcast(plan)
-    rows = rows.join(plan, path)
-    rows = rows.withColumn("_mix_h", F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("_mix_full").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")))
-    rows = rows.withColumn("_mix_range", F.left("_mix_h", F.lit(p.digits)))
-    able = (F.col("_mix_full") < p.epochs) & (F.col("_mix_left") > 0)
-    ranges = rows.where(able).groupBy(*path, "_mix_range").agg(F.sum("_mix_n").alias("_mix_s"))
-    before = F.coalesce(F.sum("_mix_s").over(Window.partitionBy(*path).orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = scratch.save(ranges.select(*path, "_mix_range", before.alias("_mix_before")))
-    part = rows.where(able).join(ranges, [*path, "_mix_range"])
-    here = Window.partitionBy(*path, "_mix_range").orderBy("_mix_h", doc_id, "_mix_n").rowsBetween(Window.unboundedPreceding, 0)
-    part = part.withColumn("_mix_sum", F.col("_mix_before") + F.sum("_mix_n").over(here)).where("_mix_sum <= _mix_left")
-    part = part.select(*own, F.col("_mix_n").alias("n_tokens"), F.col("_mix_full").cast("int").alias("epoch"))
-    whole_rows = rows.where("_mix_full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_full").cast("int") - 1)))
-    return whole_rows.select(*own, F.col("_mix_n").alias("n_tokens"), "epoch").unionByName(part)
+    plan = budgets(leaves, p).select(*(F.col(c).alias(n) for c, n in zip(p.levels, path, strict=True)), whole.cast("long").alias("full"), (F.col("budget") - whole * F.col("tokens")).cast("long").alias("rest"))
+    plan = scratch.save(plan)
+    last = _last_taken(slim, plan, path, p, scratch)
+    place, leaf, row = fresh(docs, "place"), fresh(docs, "leaf"), fresh(docs, "row")
+    plan = scratch.save(plan.join(last, path, "left").select(F.struct(*path).alias(place), F.struct("full", "last_h", "last_n").alias(leaf)))
+    rows = docs.select("*", F.struct(*level).alias(row))
+    rows = rows.join(bounded(plan, p.broadcast_leaves), F.col(row) == F.col(place))
+    full, h = F.col(f"{leaf}.full"), _order(p, F.col(f"{leaf}.full"), F.col(doc_id))
+    last_h, last_n = F.col(f"{leaf}.last_h"), F.col(f"{leaf}.last_n")
+    more = F.coalesce((h < last_h) | ((h == last_h) & (tokens <= last_n)), F.lit(False))
+    rows = rows.withColumn(leaf, F.when(more, full + 1).otherwise(full)).where(F.col(leaf) > 0)
+    return rows.select(*own, tokens.cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(0), F.col(leaf).cast("int") - 1)).alias("epoch"))
 
 
 WEIGHTS = {"domain": {"d0": 0.5, "d1": 0.3, "d2": 0.2}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
@@ -112,7 +137,7 @@ def domain(source: Column) -> Column:
     return F.concat(F.lit("d"), (F.coalesce(F.try_to_number(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("999999999")).cast("long"), F.lit(0)) % 3).cast("string"))
 
 
-def oracle(budget: float, epochs: int, seed: int, digits: int) -> str:
+def oracle(budget: float, epochs: int, seed: int) -> str:
     """DuckDB SQL of mix() over documents with WEIGHTS."""
     level = """
 , c{d} AS (SELECT {path}, sum(cap) AS c, any_value(budget) AS b, {w} AS w FROM l{up} GROUP BY {path}),
@@ -137,7 +162,7 @@ l0 AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, CAST(sum(n_tokens)
 plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN least({epochs}, CAST(floor(floor(budget) / tokens) AS BIGINT)) ELSE 0 END AS whole,
   CAST(floor(budget) AS BIGINT) AS budget, tokens FROM l3),
 rows_ AS (SELECT docs.*, whole, budget - whole * tokens AS remains, md5('{seed}' || ':' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM docs JOIN plan USING (domain, lang, source)),
-part AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM rows_)
+part AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, n_tokens RANGE UNBOUNDED PRECEDING) AS upto FROM rows_)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(e AS INTEGER) AS epoch FROM (SELECT *, unnest(range(whole)) AS e FROM rows_ WHERE whole > 0)
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS INTEGER) FROM part WHERE whole < {epochs} AND remains > 0 AND upto <= remains
 """

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytestrata.llm.scratch import Scratch
 from bytestrata.llm import bloom_lm, chat, hnsw, kdtree, language, minhash, mixing, packing, quality, warc
 
 
@@ -56,7 +57,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tokens as all documents have, at target weights, no document more than twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", mixing.domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
     slim = docs.select("doc_id", "domain", "lang", "source", mixing.n_tokens(F.col("text")).alias("n"))
-    return mixing.mix(slim, MIX, F.col("n")).drop("n")
+    return mixing.mix(Scratch(spark, "tokens").save(slim), MIX, F.col("n")).drop("n")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": kdtree.ORACLE,
-    "op4_mixing": mixing.oracle(MIX.budget, MIX.epochs, MIX.seed, MIX.digits),
+    "op4_mixing": mixing.oracle(MIX.budget, MIX.epochs, MIX.seed),
     "op9_chat_formatting": chat.ORACLE,
 }

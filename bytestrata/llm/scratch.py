@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one that this sets."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset on a local master (tests), a temporary one that this sets.
+    Elsewhere it has to be set: a machine's own folder is not shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="bytestrata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +50,19 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(df: DataFrame, limit: int) -> DataFrame:
+    """df, to be broadcast if it has at most ``limit`` rows. df: a saved table, which is counted without being made again."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_broadcast_rows(df: DataFrame, limit: int) -> bool:
     """Whether df has at most ``limit`` rows; reads no more than limit + 1 of them."""
     return df.limit(limit + 1).count() <= limit

@@ -59,7 +59,6 @@ def test_chains_large_buckets_and_edge_cases(spark):
 
 
 def test_rest_of_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
     monkeypatch.setattr(minhash, "BLOCK", 4)
     base = [f"w{i}" for i in range(80)]
     rows = [(0, " ".join(base))]
@@ -89,9 +88,9 @@ def test_repeated_ids_with_different_texts(spark, monkeypatch):
     p = minhash.Params(shingle=3, num=85)
     rows = [(1, a), (2, b), (5, a), (5, b), (3, c), (5, c + " end")]  # 5 represents no class of 1 and 2, and joins them
     assert got(spark, rows, p) == brute(rows, p)
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "CENTRES", 1)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     base = [f"w{i}" for i in range(80)]
     rows = [(0, " ".join(base))]
     rows += [(i, " ".join(base[:70] + [f"{i % 12}x{k}" for k in range(12)] + [f"end{i}"])) for i in range(1, 25)]

@@ -99,6 +99,31 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.where("false"), mixing.Params(), F.col("n")).count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [3, 20_000])
+def test_mixing_takes_prefixes_of_hashed_orders(spark, range_rows):
+    import hashlib
+
+    rows = [(i if i % 7 else 7, f"s{i % 2}", (i * 37) % 11, "x" * 5) for i in range(900)] + [(-1, "s0", 4, "hot")] * 50 + [(None, "s0", 3, None), (5000, "s1", 0, "long " * 20_000)]
+    clash = ["row", "leaf", "place", "prefix", "full", "h", "n_tokens", "epoch", "_mix_n"]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long, text string").withColumns({c: F.lit(c) for c in clash})
+    for epochs, budget in ((1, 0.4), (3, 1.7)):
+        p = mixing.Params(levels=("source",), weights={"source": {"s0": 3.0}}, epochs=epochs, budget=budget, range_rows=range_rows)
+        out = mixing.mix(docs, p, F.col("n"))
+        assert sorted(out.columns) == sorted(["doc_id", "source", "n", "text", *clash])
+        totals = {s: sum(r[2] for r in rows if r[1] == s) for s in ("s0", "s1")}
+        own = {r.source: r.budget for r in mixing.budgets(spark.createDataFrame(list(totals.items()), "source string, tokens long"), p).collect()}
+        want = []
+        for s in totals:
+            full = min(epochs, own[s] // totals[s])
+            rest = own[s] - full * totals[s]
+            mine = [r for r in rows if r[1] == s]
+            want += [(r[0], r[2], e) for r in mine for e in range(full)]
+            key = lambda r: (hashlib.md5(f"42:{full}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[2])
+            if full < epochs and rest > 0:
+                want += [(r[0], r[2], full) for r in mine if sum(x[2] for x in mine if key(x) <= key(r)) <= rest]
+        assert sorted(((r.doc_id, r.n, r.epoch) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_chat_edges(spark):
     from bytestrata.llm import chat
 
