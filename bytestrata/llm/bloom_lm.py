@@ -3,14 +3,18 @@
 Counting: each task counts the words and bigrams of its texts in numpy and sends them, as packed runs, to segments
 dealt by the top bits of their hashes, so that no frequent word or pair makes a hot key. A segment sums its counts.
 For bigrams it then enters (bigram, level) for every level up to 1 + floor(log2(count)) into its own part of the
-filter, at ``probes`` places; the part's size follows its number of entries.
+filter, at ``probes`` places; the part's size follows its number of entries. It also tells each history u how many
+successors T(u) it met and the sum S(u) of their counts as the filter gives them back; these go to u's own segment.
 
-Scoring: a bigram's count is read back by probing levels 1, 2, ... until one is missing. The probability of w after u is
-(count(u w) + K * p1(w)) / (count(u) + K), with add-one unigrams p1 and K chosen by leave-one-out likelihood.
+Scoring: a bigram's count is read back by probing levels 1, 2, ... until one is missing; level l stands for 2**(l - 1),
+which no true count is below. With add-one unigrams p1, in which all unknown words are one more word, the probability of
+w after u is (count(u w) + (C(u) - S(u) + T(u)) * p1(w)) / (C(u) + T(u)): what quantising takes from the counts goes to the
+backoff, so that the probabilities after each u add up to 1, but for the false positives of the filter. After an unknown
+word it is p1(w). Nothing is tuned.
 
 Bounds: a pass broadcasts at most ``filter_mb`` of filter; a larger filter is split by segments into several passes, each
-scoring the tokens whose bigrams lie in its part, and the parts' sums add up. Word counts are broadcast up to
-``vocabulary_mb`` and joined to each document by shuffle beyond.
+scoring the tokens whose bigrams lie in its part, and the parts' sums add up. Figures of words are broadcast up to
+``vocabulary_mb`` and joined to each document by shuffle beyond. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,17 +34,15 @@ from bytestrata.llm.textkit import U64, mix, slices, words
 END = U64(0x1F0E3DAD99908345)
 LEVELS = 40
 FIGURES = ["n_tokens", "n_known", "base_score", "score"]
-GUESS = np.concatenate(([0.0, 1.0], 1.4 * 2.0 ** np.arange(1, LEVELS + 1)))
+COUNT = np.concatenate(([0.0], 2.0 ** np.arange(LEVELS + 1)))
 
 
 @dataclass(frozen=True)
 class Params:
-    probes: int = 5
+    probes: int = 6
     segment_tokens: int = 1 << 20
     filter_mb: int = 160
     vocabulary_mb: int = 128
-    tuning_documents: int = 2000
-    ks: tuple[float, ...] = tuple(10.0**k for k in range(0, 13))
     task_tokens: int = 2_500_000
 
 
@@ -68,14 +70,18 @@ def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(u) * U64(0xD6E8FEB86659FD93) + w)
 
 
-def _pack(h: np.ndarray, c: np.ndarray, width: int) -> tuple[bytes, bytes, bytes]:
-    """Hashes seen once, hashes seen more often, their counts. width: bytes kept of a hash, the lowest ones."""
+def _pack(h: np.ndarray, c: np.ndarray, width: int, u: np.ndarray | None = None) -> tuple[bytes, bytes, bytes, bytes]:
+    """Hashes seen once, hashes seen more often, their counts, the histories of both. width: bytes kept of a hash, the
+    lowest ones. Counts are those of one flush, which holds fewer than 2**32 tokens."""
     cut = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
     one = c == 1
-    return cut(h[one]), cut(h[~one]), c[~one].astype("<u4").tobytes()
+    before = b"" if u is None else u[one].astype("<u8").tobytes() + u[~one].astype("<u8").tobytes()
+    return cut(h[one]), cut(h[~one]), c[~one].astype("<u4").tobytes(), before
 
 
-def _unpack(singles: list[bytes], manys: list[bytes], counts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(singles: list[bytes], manys: list[bytes], counts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, their counts, and where each is first met in singles, then manys."""
+
     def grow(parts: list[bytes]) -> np.ndarray:
         raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
         out = np.zeros((len(raw), 8), np.uint8)
@@ -85,38 +91,45 @@ def _unpack(singles: list[bytes], manys: list[bytes], counts: list[bytes], width
     a, b = grow(singles), grow(manys)
     h = np.concatenate((a, b))
     c = np.concatenate((np.ones(len(a), np.int64), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)))
-    h, at = np.unique(h, return_inverse=True)
-    return h, np.bincount(at, c, len(h)).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[heads], np.add.reduceat(c[order], heads) if len(h) else c, order[heads]
 
 
 def counter(bits: int, task_tokens: int):
     """Counts of words (kind 0) and bigrams (kind 1), a row per segment and several million tokens."""
 
-    def flush(held: list[np.ndarray], kind: int, width: int) -> Iterator[pa.RecordBatch]:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
+    def flush(kind: int, width: int, h: np.ndarray, c: np.ndarray, u: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         cuts = np.searchsorted(h >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        rows = [(s, *_pack(h[a:b], c[a:b], width)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        rows = [(s, *_pack(h[a:b], c[a:b], width, None if u is None else u[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         for at in range(0, len(rows), 64):
             part = list(zip(*rows[at : at + 64], strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([kind] * len(part[0]), pa.int32()), pa.array(part[0], pa.int32()), *(pa.array(x, pa.binary()) for x in part[1:])],
-                ["kind", "segment", "singles", "manys", "counts"],
+                ["kind", "segment", "singles", "manys", "counts", "histories"],
             )
 
+    def flush_all(one: list[np.ndarray], before: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, u = np.concatenate(one), np.concatenate(before)
+        yield from flush(0, 8, *np.unique(t, return_counts=True), None)
+        grams = pair(u, t)
+        del t
+        grams, first, c = np.unique(grams, return_index=True, return_counts=True)
+        yield from flush(1, 6, grams, c, u[first])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, n = [], [], 0
+        one, before, n = [], [], 0
         for batch in slices(batches, "text"):
             t, bounds = tokens(batch.column(0))
             one.append(t)
-            two.append(pair(histories(t, bounds), t))
+            before.append(histories(t, bounds))
             n += len(t)
             if n >= task_tokens:
-                yield from flush(one, 0, 8)
-                yield from flush(two, 1, 6)
-                one, two, n = [], [], 0
+                yield from flush_all(one, before)
+                one, before, n = [], [], 0
         if n:
-            yield from flush(one, 0, 8)
-            yield from flush(two, 1, 6)
+            yield from flush_all(one, before)
 
     return run
 
@@ -129,28 +142,75 @@ def places(h: np.ndarray, level: int, size: np.ndarray, probes: int) -> Iterator
         yield ((x & U64(0xFFFFFFFF)) + U64(j) * step) % size
 
 
+BUILT = "kind int, segment int, n long, total long, a binary, b binary, c binary"
+
+
 def builder(probes: int):
-    """Sums a segment's counts. Words: hashes and counts. Bigrams: this segment's part of the filter."""
+    """Sums a segment's counts. Words: hashes (a) and counts (b). Bigrams: this segment's part of the filter (a), and for
+    each history its hash (b), then its sums of read-back counts and of successors (c)."""
 
     def run(key, batches):
-        cols = {n: batches.column(n).to_pylist() for n in ("singles", "manys", "counts")}
+        cols = {n: batches.column(n).to_pylist() for n in ("singles", "manys", "counts", "histories")}
         kind = key[0].as_py()
-        h, c = _unpack(cols["singles"], cols["manys"], cols["counts"], 6 if kind else 8)
+        h, c, first = _unpack(cols["singles"], cols["manys"], cols["counts"], 6 if kind else 8)
         if not kind:
-            return _row(kind, key[1].as_py(), len(h), int(c.sum()), h.astype("<u8").tobytes(), c.astype("<u4").tobytes())
+            return _row(kind, key[1].as_py(), len(h), int(c.sum()), h.astype("<u8").tobytes(), c.astype("<u8").tobytes(), b"")
         level = np.frexp(c.astype(float))[1]
         size = max(64, math.ceil(int(level.sum()) * probes / math.log(2) / 64) * 64)
         part = np.zeros(size, bool)
         for i in range(1, int(level.max()) + 1):
             for at in places(h[level >= i], i, U64(size), probes):
                 part[at] = True
-        return _row(kind, key[1].as_py(), len(h), int(c.sum()), np.packbits(part, bitorder="little").tobytes(), b"")
+        # all singles of all flushes come first in h, and each flush's histories hold its singles' first
+        once = [8 * (len(x) // 6) for x in cols["singles"]]
+        u = np.frombuffer(b"".join([x[:n] for x, n in zip(cols["histories"], once, strict=True)] + [x[n:] for x, n in zip(cols["histories"], once, strict=True)]), "<u8")[first]
+        u, back = np.unique(u, return_inverse=True)
+        sums = np.zeros((2, len(u)), np.int64)
+        np.add.at(sums[0], back, np.int64(1) << (level - 1).astype(np.int64))
+        sums[1] = np.bincount(back, minlength=len(u))
+        return _row(kind, key[1].as_py(), len(h), int(c.sum()), np.packbits(part, bitorder="little").tobytes(), u.tobytes(), sums.astype("<i8").tobytes())
 
     return run
 
 
-def _row(kind: int, segment: int, n: int, total: int, a: bytes, b: bytes) -> pa.Table:
-    return pa.table({"kind": pa.array([kind], pa.int32()), "segment": pa.array([segment], pa.int32()), "n": [n], "total": [total], "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary())})
+def _row(kind: int, segment: int, n: int, total: int, *parts: bytes) -> pa.Table:
+    return pa.table({"kind": pa.array([kind], pa.int32()), "segment": pa.array([segment], pa.int32()), "n": [n], "total": [total]} | {x: pa.array([v], pa.binary()) for x, v in zip("abc", parts, strict=True)})
+
+
+def _to_own_segments(bits: int):
+    """Segments' figures of histories, dealt to the segments of the histories."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, sums = np.frombuffer(b, "<u8"), np.frombuffer(c, "<i8").reshape(2, -1)
+                seg = (u >> U64(64 - bits)).astype(np.int32)
+                heads = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+                ends = np.append(heads[1:], len(u))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seg[heads]), pa.array([u[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary()), pa.array([sums[:, i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary())],
+                    ["segment", "u", "sums"],
+                )
+
+    return run
+
+
+VOCABULARY = "segment int, n long, total long, h binary, c binary, back binary, types binary"
+
+
+def _vocabulary(left, right):
+    """A segment's words: hashes, counts C, backoff masses C - S + T and numbers of successors T."""
+    if not left.num_rows:
+        raise ValueError("a history that is no word")
+    h, c = (np.frombuffer(left.column(x)[0].as_py(), k) for x, k in (("a", "<u8"), ("b", "<u8")))
+    s, t = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    for u, sums in zip(right.column("u").to_pylist(), right.column("sums").to_pylist(), strict=True):
+        at = np.searchsorted(h, np.frombuffer(u, "<u8"))
+        more = np.frombuffer(sums, "<i8").reshape(2, -1)
+        s[at] += more[0]
+        t[at] += more[1]
+    figures = {"h": h, "c": c.astype("<i8"), "back": c.astype("<i8") - s + t, "types": t}
+    return pa.table({"segment": left.column("segment"), "n": left.column("n"), "total": left.column("total")} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in figures.items()})
 
 
 class Filter:
@@ -204,45 +264,39 @@ def filter_parts(df: DataFrame, sizes: list[tuple[int, int]], bits: int) -> tupl
     return size, start, gather(df, "a", "u1", at, places)
 
 
-def lookup(t: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Counts of tokens, 0 where absent. keys ascend."""
-    if not len(keys):
-        return np.zeros(len(t), np.int64)
-    u, back = np.unique(t, return_inverse=True)
-    at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
-    return np.where(keys[at] == u, counts[at], 0).astype(np.int64)[back]
-
-
-def _probabilities(batch, filters, vocabulary, total: int, distinct: int):
-    """Of a run of texts: bounds, word counts, history counts, unigram probabilities, bigram levels."""
+def _figures(batch, vocabulary, total: int, distinct: int):
+    """Of a run of texts: bounds, bigrams, word counts, unigram probabilities, and of each history: count, backoff mass, count
+    and successors together."""
     t, bounds = tokens(batch.column("text"))
+    before = histories(t, bounds)
+    grams = pair(before, t)
     if vocabulary is None:
+        known = {x: np.concatenate([batch.column(f"k{x}").flatten().to_numpy(), [batch.column(f"end_{x}")[0].as_py()]]) for x in ("c", "back", "types")}
         h = np.concatenate([batch.column("kh").flatten().to_numpy().view(np.uint64), [END]])
-        c = np.concatenate([batch.column("kc").flatten().to_numpy(), [batch.column("ends")[0].as_py()]])
         h, first = np.unique(h, return_index=True)
-        vocabulary = h, c[first]
-    c = lookup(t, *vocabulary)
-    ends = lookup(np.array([END]), *vocabulary)[0]
-    before = np.empty_like(c)
-    before[1:] = c[:-1]
-    if len(c):
-        before[bounds[:-1]] = ends
-    p1 = (c + 1.0) / (total + distinct + 1.0)
-    grams = pair(histories(t, bounds), t)
-    return bounds, c, before, p1, grams
-
-
-def scorer(parts, vocabulary, total: int, distinct: int, k: float, bits: int, probes: int, lo: int, hi: int, keys: list[str]):
+        vocabulary = h, *(known[x][first] for x in ("c", "back", "types"))
+    keys, *columns = vocabulary
+    u, back = np.unique(t, return_inverse=True)
+    at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+    there = keys[at] == u if len(keys) else np.zeros(len(u), bool)
+    c, mass, types = ((np.where(there, x[at], 0) if len(keys) else np.zeros(len(u), np.int64)).astype(np.float64) for x in columns)
+    last = np.minimum(np.searchsorted(u, before), len(u) - 1)  # every history is a token of the run: END or a word
+    p1 = ((c + 1.0) / (total + distinct + 1.0))[back]
+    return bounds, grams, c[back], p1, c[last], mass[last], (c + types)[last]
+
+
+def scorer(parts, vocabulary, total: int, distinct: int, bits: int, probes: int, lo: int, hi: int, keys: list[str]):
     """The named columns with each text's figures; score: the part of the tokens whose bigrams lie in segments lo..hi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filter(parts.value, probes)
         known = vocabulary.value if vocabulary is not None else None
         for batch in slices(batches, "text", 3 << 20):
-            bounds, c, before, p1, grams = _probabilities(batch, f, known, total, distinct)
+            bounds, grams, c, p1, times, mass, whole = _figures(batch, known, total, distinct)
             seg = grams >> U64(64 - bits)
-            seen = np.minimum(GUESS[f.levels(grams)], np.minimum(c, before))
-            score = np.where((seg >= U64(lo)) & (seg < U64(hi)), np.log10((seen + k * p1) / (before + k)), 0.0)
+            seen = np.minimum(COUNT[f.levels(grams)], np.minimum(c, times))
+            p = np.where(whole > 0, (seen + mass * p1) / np.maximum(whole, 1), p1)
+            score = np.where((seg >= U64(lo)) & (seg < U64(hi)), np.log10(p), 0.0)
             run_sum = lambda v: pa.array(np.add.reduceat(v, bounds[:-1]))  # noqa: E731  no run is empty: END
             figures = [pa.array(np.diff(bounds)), run_sum((c > 0).astype(np.int64)), run_sum(np.log10(p1)), run_sum(score)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), *figures], [*keys, *FIGURES])
@@ -250,45 +304,31 @@ def scorer(parts, vocabulary, total: int, distinct: int, k: float, bits: int, pr
     return run
 
 
-def tuner(parts, vocabulary, total: int, distinct: int, ks: tuple[float, ...], bits: int, probes: int):
-    """Leave-one-out log likelihoods of training texts, a sum for each K."""
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of the segments."""
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in row], ["h", "c", "back", "types"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Filter(parts.value, probes)
-        known = vocabulary.value if vocabulary is not None else None
-        for batch in slices(batches, "text", 3 << 20):
-            _, c, before, _, grams = _probabilities(batch, f, known, total, distinct)
-            level = f.levels(grams)
-            use = f.size[grams >> U64(64 - bits)] > 0
-            seen = np.maximum(np.minimum(GUESS[level], np.minimum(c, before)) - 1, 0)
-            p1 = np.maximum(c, 1) / (total + distinct)
-            sums = [float(np.log10((seen + k * p1) / (np.maximum(before - 1, 0) + k))[use].sum()) for k in ks]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(ks)), pa.int32()), pa.array(sums)], ["k", "fit"])
-
-    return run
 
-
-def _with_counts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """docs with the counts of their own words as two lists, by shuffle: for vocabularies beyond the bound."""
+def _with_figures(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """docs with the figures of their own words as lists, by shuffle: for vocabularies beyond the bound."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             w = words(batch.column(1))
             lists = [np.unique(w.hashes[a:b]).view(np.int64) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
             for key, x in zip(batch.column(0).to_pylist(), lists, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key, np.int64)), pa.array(x)], ["row_key", "h"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(np.frombuffer(b, "<u4").astype(np.int64))], ["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.binary()), pa.array(x)], ["row_key", "h"])
 
-    counts = vocab.select("a", "b").mapInArrow(spread, "h long, c long")
-    found = docs.select("row_key", "text").mapInArrow(own, "row_key long, h long").distinct().join(counts, "h")
-    found = found.groupBy("row_key").agg(F.collect_list(F.struct("h", "c")).alias("known"))
-    joined = docs.join(found, "row_key", "left")
+    figures = vocab.select("h", "c", "back", "types").mapInArrow(_spread, "h long, c long, back long, types long")
+    end = figures.where(F.col("h") == int(END.astype(np.int64))).first()
+    found = docs.select("row_key", "text").mapInArrow(own, "row_key binary, h long").distinct().join(figures, "h")
+    found = found.groupBy("row_key").agg(F.collect_list(F.struct("h", "c", "back", "types")).alias("known"))
     empty = F.array().cast("array<long>")
-    return joined.select("row_key", "text", "train", F.coalesce("known.h", empty).alias("kh"), F.coalesce("known.c", empty).alias("kc"))
+    lists = [F.coalesce(f"known.{x}", empty).alias(f"k{x}") for x in ("h", "c", "back", "types")]
+    ends = [F.lit(end[x] if end else 0).cast("long").alias(f"end_{x}") for x in ("c", "back", "types")]
+    return docs.join(found, "row_key", "left").select("row_key", "text", *lists, *ends)
 
 
 def score_documents(docs: DataFrame, train, p: Params = Params(), text: str = "text") -> DataFrame:
@@ -296,21 +336,24 @@ def score_documents(docs: DataFrame, train, p: Params = Params(), text: str = "t
 
     train: a Column that is true for the rows to learn from (null: not learned from). Null text is empty: its one token is
     the end. Equal texts get equal scores; no columns but text and those of ``train`` are read by the model. Without
-    training rows every count is 0 and scores are those of the add-one base.
+    training rows every count is 0 and scores are those of the add-one base. Columns of docs named like those added here
+    are replaced; other names are free.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    slim = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    body, learn = F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(train, F.lit(False))
+    slim = docs.select(body.alias("text"), learn.alias("train"))
     size = slim.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     bits = max(1, min(20, math.ceil(math.log2(((size[0] or 0) / 5 + size[1]) / p.segment_tokens + 1))))
-    counted = slim.where("train").select("text").mapInArrow(counter(bits, p.task_tokens), "kind int, segment int, singles binary, manys binary, counts binary")
-    model = scratch.save(counted.groupBy("kind", "segment").applyInArrow(builder(p.probes), "kind int, segment int, n long, total long, a binary, b binary"))
-    vocab, grams = model.where("kind = 0"), model.where("kind = 1")
+    counted = slim.where("train").select("text").mapInArrow(counter(bits, p.task_tokens), "kind int, segment int, singles binary, manys binary, counts binary, histories binary")
+    model = scratch.save(counted.groupBy("kind", "segment").applyInArrow(builder(p.probes), BUILT))
+    grams = model.where("kind = 1")
+    told = grams.select("b", "c").mapInArrow(_to_own_segments(bits), "segment int, u binary, sums binary")
+    vocab = scratch.save(model.where("kind = 0").drop("c").groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_vocabulary, VOCABULARY))
     distinct, total = (x or 0 for x in vocab.agg(F.sum("n"), F.sum("total")).first())
 
-    own = [c for c in docs.columns if c != text]
-    texts = docs.withColumns({text: F.coalesce(F.col(text).cast("string"), F.lit("")), "_train": F.coalesce(train, F.lit(False))})
-    texts = texts.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(own)), F.col(text).alias("text"), F.col("_train").alias("train"), F.xxhash64(text).alias("row_key"))
+    own = [c for c in docs.columns if c not in (text, "train_tokens", *FIGURES)]
+    texts = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(own)), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("row_key"))
     sizes = sorted((r.segment, r.size) for r in grams.select("segment", F.octet_length("a").alias("size")).collect())
     passes, held = [0], 0
     for s, n in sizes:
@@ -319,37 +362,32 @@ def score_documents(docs: DataFrame, train, p: Params = Params(), text: str = "t
             held = 0
         held += n
     passes.append(1 << bits)
-    inline = 12 * distinct <= p.vocabulary_mb << 20
+    inline = 32 * distinct <= p.vocabulary_mb << 20
     once = inline and len(passes) == 2
     keys, source = [f"_{i}" for i in range(len(own))] if once else ["row_key"], texts
     if not once:
-        source = texts.groupBy("row_key").agg(F.first("text").alias("text"), F.max("train").alias("train"))
+        source = texts.groupBy("row_key").agg(F.first("text").alias("text"))
     vocabulary = None
     if inline:
         places, at = {}, 0
         for r in sorted(vocab.select("segment", "n").collect()):
             places[r.segment] = at
             at += r.n
-        vocabulary = spark.sparkContext.broadcast((gather(vocab, "a", "<u8", at, places), gather(vocab, "b", "<u4", at, places)))
+        vocabulary = spark.sparkContext.broadcast(tuple(gather(vocab, x, kind, at, places) for x, kind in (("h", "<u8"), ("c", "<i8"), ("back", "<i8"), ("types", "<i8"))))
     else:
-        source = scratch.save(_with_counts(source, vocab).withColumn("ends", F.lit(slim.where("train").count()).cast("long")))
-    columns = [*keys, "text"] if inline else [*keys, "text", "kh", "kc", "ends"]
+        source = scratch.save(_with_figures(source, vocab))
+    columns = [*keys, "text"] if inline else source.columns
 
-    scores, k = None, None
+    scores = None
     for lo, hi in zip(passes[:-1], passes[1:], strict=True):
         inside = (F.col("segment") >= lo) & (F.col("segment") < hi)
         parts = spark.sparkContext.broadcast(filter_parts(grams.where(inside), [x for x in sizes if lo <= x[0] < hi], bits))
-        if k is None:
-            share = math.ceil(p.tuning_documents / max(1, size[1]) * (1 << 20))
-            sample = source.where(F.col("train") & (F.pmod("row_key", F.lit(1 << 20)) < share)).select(*columns)
-            fits = sample.mapInArrow(tuner(parts, vocabulary, total, distinct, p.ks, bits, p.probes), "k int, fit double").groupBy("k").sum("fit").collect()
-            k = p.ks[max(fits, key=lambda r: r[1])[0]] if fits else p.ks[-1]
-        run = scorer(parts, vocabulary, total, distinct, k, bits, p.probes, lo, hi, keys)
+        run = scorer(parts, vocabulary, total, distinct, bits, p.probes, lo, hi, keys)
         schema = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in keys] + ["n_tokens long", "n_known long", "base_score double", "score double"]
         out = source.select(*columns).mapInArrow(run, ", ".join(schema))
         scores = out if scores is None else scores.unionByName(out)
     if not once:
         whole = scores.groupBy("row_key").agg(*(F.max(c).alias(c) for c in FIGURES[:3]), F.sum("score").alias("score"))
-        scores = texts.drop("text", "train").join(whole, "row_key")
+        scores = texts.drop("text").join(whole, "row_key")
     named = [F.col(f"_{i}").alias(c) for i, c in enumerate(own)]
     return scores.select(*named, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

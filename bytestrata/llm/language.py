@@ -9,7 +9,6 @@ posterior over its words, which is also the score.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,21 +17,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytestrata.llm.scratch import Scratch
 from bytestrata.llm.textkit import U64, mix, slices, span_hashes, words
 
 BUCKETS = 18
 AFFIX = 4
+MOST_LANGUAGES = 1 << 15
 
 
 @dataclass(frozen=True)
 class Params:
-    """The fit takes of each language the ``per_language`` distinct texts with the smallest hashes, those of at most
-    ``row_bytes`` bytes first and, if they are too few, the first ``row_bytes`` characters of longer ones; of more than
-    ``languages`` languages it learns those with the most distinct texts. Everything else sees all rows whole."""
+    """The fit takes of each language the ``per_language`` distinct texts with the smallest hashes, fewer if all languages
+    together had more than ``fit_rows``, one at least: those of at most ``row_bytes`` bytes first and, if they are too few,
+    the first ``row_bytes`` characters of longer ones. Every language is learned. The weight table has at most ``cells``
+    entries: with more than 64 languages, fewer buckets. Everything else sees all rows whole."""
 
     per_language: int = 120
+    fit_rows: int = 4_000
     row_bytes: int = 8_000
-    languages: int = 256
+    cells: int = 1 << 24
+    chunk: int = 1 << 23
     lexicon_min: int = 3
     length: int = 64
     epochs: int = 25
@@ -40,17 +44,17 @@ class Params:
     seed: int = 5
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bits: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed feature numbers of words, one after another, and each word's bounds. A word's first feature is its form."""
     n, length = len(starts), ends - starts
-    held, owner = [(hashes >> U64(64 - BUCKETS)).astype(np.int64)], [np.arange(n)]
+    held, owner = [(hashes >> U64(64 - bits)).astype(np.int64)], [np.arange(n)]
     for k in range(1, AFFIX + 1):
         long = np.flatnonzero(length >= k)
         for side, at in ((0, starts[long]), (1, ends[long] - k)):
             code = np.full(len(long), U64(2 * k + side + 100), np.uint64)
             for j in range(k):
                 code = code * U64(257) + data[at + j]
-            held.append((mix(code) >> U64(64 - BUCKETS)).astype(np.int64))
+            held.append((mix(code) >> U64(64 - bits)).astype(np.int64))
             owner.append(long)
     for k in (2, 3):
         count = np.maximum(length - k + 1, 0)
@@ -59,7 +63,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
         code = np.full(len(who), U64(k), np.uint64)
         for j in range(k):
             code = code * U64(257) + data[at + j]
-        held.append((mix(code) >> U64(64 - BUCKETS)).astype(np.int64))
+        held.append((mix(code) >> U64(64 - bits)).astype(np.int64))
         owner.append(who)
     who = np.concatenate(owner)
     order = np.argsort(who, kind="stable")
@@ -69,15 +73,18 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
 class Model:
     """Weights [buckets, K], lexicon membership by form bucket, log transitions [K, K], languages."""
 
-    def __init__(self, languages: list[str]):
+    def __init__(self, languages: list[str], cells: int = 1 << 24):
         self.languages = languages
         k = len(languages)
-        self.weights = np.zeros((1 << BUCKETS, k), np.float32)
-        self.lexicon = np.zeros(1 << BUCKETS, bool)
+        self.bits = BUCKETS
+        while self.bits > 8 and k << self.bits > cells:
+            self.bits -= 1
+        self.weights = np.zeros((1 << self.bits, k), np.float32)
+        self.lexicon = np.zeros(1 << self.bits, bool)
         self.transitions = np.zeros((k, k))
 
     def emissions(self, w, unique_first: np.ndarray) -> np.ndarray:
-        f, bounds = word_features(w.data, w.starts[unique_first], w.ends[unique_first], w.hashes[unique_first])
+        f, bounds = word_features(w.data, w.starts[unique_first], w.ends[unique_first], w.hashes[unique_first], self.bits)
         scores = self.weights[f]
         form = bounds[:-1]
         scores[form] *= self.lexicon[f[form]][:, None]
@@ -151,7 +158,7 @@ def potentials(e: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[str], p: Params = Params()) -> Model:
     """Maximum conditional likelihood by AdaGrad over spliced sequences of p.length words."""
     languages = sorted(set(labels))
-    model = Model(languages)
+    model = Model(languages, p.cells)
     k = len(languages)
     if k < 2:
         return model
@@ -170,34 +177,40 @@ def train(texts: list[str], labels: list[str], p: Params = Params()) -> Model:
     rows = len(order) // p.length
     if not rows:
         rows, order = 1, np.resize(order, p.length)
-    seq = order[: rows * p.length].reshape(rows, p.length).T.reshape(-1)  # time-major
-    token, gold = inverse[seq], label[seq]
-    f, bounds = word_features(w.data, w.starts[unique_first], w.ends[unique_first], w.hashes[unique_first])
+    grid = order[: rows * p.length].reshape(rows, p.length).T  # time-major
+    n = rows * p.length
+    f, bounds = word_features(w.data, w.starts[unique_first], w.ends[unique_first], w.hashes[unique_first], model.bits)
     form = bounds[:-1]
     model.lexicon[f[form][count >= p.lexicon_min]] = True
     live = np.ones(len(f), np.float32)
     live[form] = model.lexicon[f[form]]
     owner = np.repeat(np.arange(len(form)), np.diff(bounds))
     scale = 1 / np.sqrt(np.diff(bounds))
-    active = np.full(p.length, rows)
-    target = np.zeros((len(seq), k))
-    target[np.arange(len(seq)), gold] = 1
-    pair_gold = np.bincount(gold[: -rows] * k + gold[rows:], minlength=k * k).reshape(k, k) if p.length > 1 else np.zeros((k, k))
-    sum_w, sum_t = np.full(model.weights.shape, 1e-8), np.full((k, k), 1e-8)
+    wide = max(1, p.chunk // (p.length * k))
+    sum_w, sum_t = np.full(model.weights.shape, 1e-8, np.float32 if k > 64 else np.float64), np.full((k, k), 1e-8)
     for _ in range(p.epochs):
-        e = np.add.reduceat(model.weights[f] * live[:, None], form, axis=0) * scale[:, None]
-        pot = potentials(e)[token]
+        e = np.stack([np.add.reduceat(model.weights[f, j] * live, form) * scale for j in range(k)], axis=1)
         move = np.exp(model.transitions)
-        post, a, b = forward_backward(pot, active, move)
-        x = a[:-rows][:, :, None] * move[None] * (pot[rows:] * b[rows:])[:, None, :]
-        x /= x.sum((1, 2), keepdims=True)
-        grad_t = (pair_gold - x.sum(0)) / len(seq)
-        diff = target - post
+        grad_w, grad_t = np.zeros((len(form), k)), np.zeros((k, k))
+        for at in range(0, rows, wide):  # sequences of at most ``chunk`` entries of each table at once
+            seq = grid[:, at : at + wide].reshape(-1)
+            many = len(seq) // p.length
+            token, gold = inverse[seq], label[seq]
+            pot = potentials(e[token])
+            post, a, b = forward_backward(pot, np.full(p.length, many), move)
+            if p.length > 1:
+                ahead = pot[many:] * b[many:]
+                mass = ((a[:-many] @ move) * ahead).sum(1)
+                grad_t += np.bincount(gold[:-many] * k + gold[many:], minlength=k * k).reshape(k, k) - move * (a[:-many].T @ (ahead / mass[:, None]))
+            post[np.arange(len(seq)), gold] -= 1
+            for j in range(k):
+                grad_w[:, j] -= np.bincount(token, post[:, j], len(form))
         for j in range(k):
-            g = np.bincount(token, diff[:, j], len(form)) * scale
-            g = np.bincount(f, g[owner] * live, 1 << BUCKETS) / len(seq) - 1e-7 * model.weights[:, j]
+            g = grad_w[:, j] * scale
+            g = np.bincount(f, g[owner] * live, 1 << model.bits) / n - 1e-7 * model.weights[:, j]
             sum_w[:, j] += g * g
             model.weights[:, j] += (p.rate * 4 * g / np.sqrt(sum_w[:, j])).astype(np.float32)
+        grad_t /= n
         sum_t += grad_t**2
         model.transitions += p.rate * grad_t / np.sqrt(sum_t)
     return model
@@ -231,7 +244,7 @@ def predictor(model, keys: list[str]):
         m = model.value
         names = np.array([*m.languages, "und"], object)
         k = len(m.languages)
-        for batch in slices(batches, "text", RUN_BYTES):
+        for batch in slices(batches, "text", RUN_BYTES * 4 // max(4, k)):
             lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
             n, means = text_means(m, batch.column("text"))
             best, score = np.full(len(n), k), np.zeros(len(n))
@@ -251,21 +264,21 @@ def training_rows(docs: DataFrame, learn: Column, p: Params = Params(), text: st
     able = docs.where(learn & F.col(lang).isNotNull() & (F.octet_length(whole) > 0))
     able = able.select(F.when(long, F.substring(whole, 1, p.row_bytes)).otherwise(whole).alias("text"), F.col(lang).cast("string").alias("lang"), long.alias("long"))
     able = able.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(span)))
-    sizes = able.groupBy("lang").agg(*(F.approx_count_distinct(F.when(F.col("long") == x, F.col("h"))).alias(c) for c, x in (("n_short", False), ("n_long", True))))
-    sizes = sizes.orderBy(F.desc(F.col("n_short") + F.col("n_long")), "lang").limit(p.languages).collect()
+    counts = (F.approx_count_distinct(F.when(F.col("long") == x, F.col("h"))).alias(c) for c, x in (("n_short", False), ("n_long", True)))
+    sizes = Scratch(docs.sparkSession, "languages").save(able.groupBy("lang").agg(*counts))
+    languages = sizes.count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{languages} values of {lang}: no such column holds languages")
+    most = max(1, min(p.per_language, p.fit_rows // max(1, languages)))
 
     # The counts are estimates, so twice the texts are let through; the smallest hashes of those are exact.
-    def below(n: int) -> Column:
-        return F.col("h") < math.ceil(min(1.0, 2 * p.per_language / max(1, n)) * span)
-
-    chosen = F.lit(False)
-    for r in sorted(sizes):
-        own = ~F.col("long") & below(r.n_short)
-        if r.n_short < 2 * p.per_language:
-            own = own | (F.col("long") & below(r.n_long))
-        chosen = chosen | ((F.col("lang") == r.lang) & own)
+    def below(n: str) -> Column:
+        return F.col("h") < F.ceil(F.least(F.lit(1.0), F.lit(2.0 * most) / F.greatest(F.lit(1), n)) * F.lit(float(span)))
+
+    chosen = F.when(F.col("long"), (F.col("n_short") < 2 * most) & below("n_long")).otherwise(below("n_short"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text"))
-    return able.where(chosen).distinct().withColumn("rank", rank).where(F.col("rank") <= p.per_language).select("text", "lang")
+    few = able.join(F.broadcast(sizes), "lang").where(chosen).select("text", "lang", "long", "h").distinct()
+    return few.withColumn("rank", rank).where(F.col("rank") <= most).select("text", "lang")
 
 
 def fit(docs: DataFrame, learn: Column, p: Params = Params(), text: str = "text", lang: str = "lang") -> Model:

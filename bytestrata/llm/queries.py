@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytestrata.llm.scratch import Scratch
 from bytestrata.llm import bloom_lm, chat, hnsw, kdtree, language, minhash, mixing, packing, quality, warc
+from bytestrata.llm.scratch import Scratch, fresh
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +77,14 @@ LABEL_ROWS = 200_000
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, most: int = LABEL_ROWS) -> DataFrame:
-    """docs with a column quality, null where not labelled. A bounded sample of at most about ``most`` labelled ids is
-    broadcast; of conflicting labels the lower counts."""
-    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
-    share = min(1.0, most / max(1, labels.count()))
-    few = one.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most)
-    return docs.join(F.broadcast(few), docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    """docs with a column quality, null where not labelled. Of more than ``most`` labelled ids those with the smallest hashes
+    count, a bounded sample that is broadcast; of conflicting labels the lower one."""
+    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    name, h = fresh(docs, "labelled_id"), F.xxhash64("doc_id")
+    share = min(1.0, 2 * most / max(1, labels.count()))
+    few = one.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod(h, F.lit(1 << 30)), "doc_id").limit(most)
+    few = few.withColumnRenamed("doc_id", name)
+    return docs.drop("quality").join(F.broadcast(few), docs["doc_id"] == F.col(name), "left").drop(name)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

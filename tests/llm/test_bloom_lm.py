@@ -55,12 +55,45 @@ def test_edges_and_paths_beyond_the_bounds(spark, p):
     assert bloom_lm.score_documents(df.where("false"), F.col("learn"), p).count() == 0
 
 
-def test_paths_agree(spark):
-    rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(40)), i % 3 > 0) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
-    a, b, c = ({r.doc_id: r.score for r in bloom_lm.score_documents(df, F.col("learn"), p).collect()} for p in (bloom_lm.Params(segment_tokens=500), bloom_lm.Params(segment_tokens=500, vocabulary_mb=0), bloom_lm.Params(segment_tokens=500, filter_mb=0)))
-    assert a == pytest.approx(b) and len(a) == 60
-    assert a.keys() == c.keys() and all(np.isfinite(v) for v in c.values())
+def model(rows):
+    """A function of a text: its log10 probability by counts in dictionaries; and the sum of p(. | u) for every history u."""
+    train = [tokens(x) for _, x, learn in rows if learn]
+    one, two = Counter(t for x in train for t in x), Counter(g for x in train for g in zip([None, *x], x))
+    n, v = sum(one.values()), len(one)
+    read = {g: 2 ** (c.bit_length() - 1) for g, c in two.items()}
+    s, t = Counter(), Counter()
+    for (u, _), c in read.items():
+        s[u] += c
+        t[u] += 1
+
+    def p(w, u):
+        p1 = (one[w] + 1) / (n + v + 1)
+        return (read.get((u, w), 0) + (one[u] - s[u] + t[u]) * p1) / (one[u] + t[u]) if one[u] else p1
+
+    unknown = "a word that no text has"
+    sums = [sum(p(w, u) for w in [*one, unknown]) for u in [*one, unknown]]
+    return lambda x: sum(math.log10(p(w, u)) for u, w in zip([None, *tokens(x)], tokens(x))), sums
+
+
+def test_scores_are_log_probabilities_on_every_path(spark):
+    gen = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}" for k in gen.zipf(1.4, 30) % 25), i % 3 > 0) for i in range(80)] + [(100, "w1 unseen w2 words", False), (101, None, True), (102, "w1 " * 3000, True)]
+    probability, sums = model(rows)
+    assert sums == pytest.approx([1.0] * len(sums))
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").withColumns({"_train": F.lit("clash"), "score": F.lit("clash"), "text_": F.lit(1)})
+    for p in (bloom_lm.Params(probes=30), bloom_lm.Params(probes=30, segment_tokens=500, vocabulary_mb=0), bloom_lm.Params(probes=30, segment_tokens=500, filter_mb=0)):
+        got = bloom_lm.score_documents(df, F.col("learn"), p).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx({i: probability(x) for i, x, _ in rows})
+        assert all(r["_train"] == "clash" for r in got) and len(got) == len(rows)
+
+
+def test_sums_of_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    h, c = np.array([5, 9], np.uint64), np.array([2**32 - 1, 1], np.int64)
+    cols = [[x] * 3 for x in bloom_lm._pack(h, c, 8)]
+    row = bloom_lm.builder(5)((pa.scalar(0), pa.scalar(0)), pa.table(dict(zip(("singles", "manys", "counts", "histories"), cols))))
+    assert np.frombuffer(row["b"][0].as_py(), "<u8").tolist() == [3 * (2**32 - 1), 3]
 
 
 def test_filter_reads_back_quantised_counts():
@@ -70,7 +103,7 @@ def test_filter_reads_back_quantised_counts():
     rows = []
     for s in range(4):
         m = seg == s
-        row = bloom_lm.builder(5)((__import__("pyarrow").scalar(1), __import__("pyarrow").scalar(s)), __import__("pyarrow").table({n: [x] for n, x in zip(("singles", "manys", "counts"), bloom_lm._pack(h[m], c[m], 6))}))
+        row = bloom_lm.builder(5)((__import__("pyarrow").scalar(1), __import__("pyarrow").scalar(s)), __import__("pyarrow").table({n: [x] for n, x in zip(("singles", "manys", "counts", "histories"), bloom_lm._pack(h[m], c[m], 6, h[m]))}))
         rows.append((s, row["a"][0].as_py()))
     size = np.array([8 * len(b) for _, b in rows], np.uint64)
     data = np.frombuffer(b"".join(b for _, b in rows), np.uint8)
