@@ -236,7 +236,7 @@ def text_means(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n, np.add.reduceat(post[place], begins, axis=0) / n[n > 0][:, None]
 
 
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 def predictor(model, keys: list[str]):

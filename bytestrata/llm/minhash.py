@@ -206,8 +206,8 @@ def _further_centres(inside: DataFrame, sets: DataFrame, p: Params, scratch: Scr
 
 
 def _compared(inside: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """Links between the members of open buckets that lie in different components, as forests: exact. A large bucket's
-    largest component is not compared with itself: its blocks meet the blocks of the others only."""
+    """A saved table of links between the members of open buckets that lie in different components, as forests: exact. A
+    large bucket's largest component is not compared with itself: its blocks meet the blocks of the others only."""
     tops = inside.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     tops = tops.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("nx"))
     tops = scratch.save(tops)
@@ -216,7 +216,7 @@ def _compared(inside: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -
     meets = F.when(F.col("m") <= BLOCK, F.array(F.lit(0).cast("long"))).when(F.col("x"), F.sequence(-F.col("nb"), F.col("nx") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))
     rows = rows.withColumn("b", F.when(F.col("m") <= BLOCK, 0).otherwise(F.col("b"))).withColumn("o", F.explode(meets))
     rows = rows.select("key", "id", "fp", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    return rows.join(sets, ["id", "fp"]).groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long")
+    return scratch.save(rows.join(sets, ["id", "fp"]).groupBy("key", "i", "j").applyInArrow(block_linker(p), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ class Params:
     capacity: int = 2048
     shard_pieces: int = 40_000
     end_id: int = 0
-    search_pairs: int = 200_000
+    search_pairs: int = 20_000
     vocabulary: str | None = None
 
 
@@ -91,36 +91,38 @@ class Bins:
             mask |= 1 << room
 
     def improve(self, lengths: np.ndarray, most: int) -> None:
-        """Empties the emptiest bins into the other underfull ones. most: pairs of bins looked at."""
+        """Empties the emptiest bin into the other underfull ones, fullest first, again and again while anything moves; then
+        the next one that can give something. most: pairs of bins looked at."""
         need, sizes = least_bins(lengths, self.capacity), lengths.tolist()
-        held = [sorted({sizes[i] for i in x}) for x in self.items]
-        live, changed = sum(1 for f in self.fill if f), True
-        while changed and live > need and most > 0:
-            changed = False
+        live, stuck, known = sum(1 for f in self.fill if f), set(), {}
+        while live > need and most > 0:
             under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
-            for k, a in enumerate(under):
-                for b in reversed(under[k + 1 :]):
-                    if not 0 < self.fill[a] <= self.fill[b] < self.capacity:
-                        continue
+            a = next((b for b in under if b not in stuck), None)
+            if a is None:
+                break
+            moved = False
+            for b in reversed(under):
+                if most <= 0 or not self.fill[a]:
+                    break
+                while b != a and 0 < self.fill[a] <= self.fill[b] < self.capacity and most > 0:
                     most -= 1
-                    found = best_change(self._twice(a, held[a], sizes), self._twice(b, held[b], sizes), self.capacity - self.fill[b])
-                    if found:
-                        self._exchange(a, b, *found, sizes)
-                        held[a], held[b] = (sorted({sizes[i] for i in self.items[x]}) for x in (a, b))
-                        live -= not self.fill[a]
-                        changed = True
-                    if live <= need or most <= 0:
+                    for x in (a, b):
+                        if x not in known:
+                            known[x] = Choices([sizes[i] for i in self.items[x]])
+                    found = best_change(known[a], known[b], self.capacity - self.fill[b])
+                    if not found:
                         break
-                if live <= need or most <= 0:
-                    break
+                    self._exchange(a, b, *found, sizes)
+                    del known[a], known[b]
+                    moved = True
+            live -= not self.fill[a]
+            if moved:
+                stuck.clear()
+            else:
+                stuck.add(a)
         live = [b for b, f in enumerate(self.fill) if f]
         self.items, self.fill = [self.items[b] for b in live], [self.fill[b] for b in live]
 
-    def _twice(self, b: int, distinct: list[int], sizes: list[int]) -> np.ndarray:
-        """The lengths in a bin, each at most twice, as many as an exchange can take of one."""
-        own = [sizes[i] for i in self.items[b]]
-        return np.array([x for x in distinct for _ in range(min(2, own.count(x)))], np.int64)
-
     def _exchange(self, a: int, b: int, out: list[int], back: list[int], sizes: list[int]) -> None:
         def taken(bin_: int, wanted: list[int]) -> list[int]:
             found = []
@@ -154,34 +156,31 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def best_change(x: np.ndarray, y: np.ndarray, room: int) -> tuple[list[int], list[int]] | None:
+class Choices:
+    """What an exchange can take of a bin: single lengths and sums of two, ascending, and the lengths of each."""
+
+    def __init__(self, own: list[int]):
+        # of one length, two pieces are as many as an exchange can take
+        one = np.array([x for x in sorted(set(own)) for _ in range(min(2, own.count(x)))], np.int64)
+        i, j = np.triu_indices(len(one), 1)
+        two = one[i] + one[j]
+        order = np.argsort(two, kind="stable")
+        self.sums = (np.zeros(1, np.int64), one, two[order])
+        self.parts = (np.zeros((1, 0), np.int64), one[:, None], np.stack((one[i], one[j]), 1)[order])
+
+
+def best_change(x: Choices, y: Choices, room: int) -> tuple[list[int], list[int]] | None:
     """One or two lengths of x for none, one or two of y (three pieces at most) that move the most tokens, ``room`` at most."""
-    one, two = ({int(v): [int(v)] for v in z} for z in (x, y))
-    pairs = []
-    for z in (x, y):
-        i, j = np.triu_indices(len(z), 1)
-        pairs.append((z[i] + z[j], i, j))
     best: tuple[int, list[int], list[int]] = (0, [], [])
-
-    def search(outs: np.ndarray, backs: np.ndarray, name) -> None:
-        nonlocal best
-        if not len(outs) or not len(backs):
-            return
-        order = np.argsort(backs, kind="stable")
-        at = np.searchsorted(backs[order], outs - room)
-        gain = np.where(at < len(backs), outs - backs[order[np.minimum(at, len(backs) - 1)]], 0)
+    for out, back in ((1, 0), (2, 0), (1, 1), (2, 1), (1, 2)):
+        outs, backs = x.sums[out], y.sums[back]
+        if best[0] == room or not len(outs) or not len(backs):
+            continue
+        at = np.searchsorted(backs, outs - room)
+        gain = np.where(at < len(backs), outs - backs[np.minimum(at, len(backs) - 1)], 0)
         k = int(gain.argmax())
         if gain[k] > best[0]:
-            best = (int(gain[k]), *name(k, int(order[at[k]])))
-
-    px, py = pairs
-    pick = lambda z, p, k: [int(z[p[1][k]]), int(z[p[2][k]])]
-    nothing = np.zeros(1, np.int64)
-    search(x, nothing, lambda k, _: (one[int(x[k])], []))
-    search(px[0], nothing, lambda k, _: (pick(x, px, k), []))
-    search(x, y, lambda k, m: (one[int(x[k])], two[int(y[m])]))
-    search(px[0], y, lambda k, m: (pick(x, px, k), two[int(y[m])]))
-    search(x, py[0], lambda k, m: (one[int(x[k])], pick(y, py, m)))
+            best = (int(gain[k]), x.parts[out][k].tolist(), y.parts[back][at[k]].tolist())
     return best[1:] if best[0] else None
 
 

@@ -118,7 +118,7 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     return same
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about ``most`` bytes of text; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -71,7 +71,7 @@ def test_changes_are_the_best_of_all():
         room = int(gen.integers(0, 20))
         sides = lambda z, least: [c for k in range(least, 3) for c in itertools.combinations(z.tolist(), k)]
         want = max((sum(o) - sum(b) for o in sides(x, 1) for b in sides(y, 0) if len(o) + len(b) <= 3 and 0 < sum(o) - sum(b) <= room), default=0)
-        found = packing.best_change(np.sort(x), np.sort(y), room)
+        found = packing.best_change(packing.Choices(x.tolist()), packing.Choices(y.tolist()), room)
         assert (sum(found[0]) - sum(found[1]) if found else 0) == want
 
 
