@@ -22,10 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send Python workers at most BATCH bytes at once: the default of 64 MB, held twice by the JVM and
+    once by each worker, is a fifth of a small executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)b?", spark.conf.get(name, "0b"))
+    if found and int(found[1]) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
+
 class Scratch:
     """Tables of one run of one operator. ``save`` cuts the lineage: an executor that is lost takes nothing with it."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
