@@ -29,7 +29,7 @@ def small_batches(spark: SparkSession) -> None:
     """Lets the session send Python workers at most BATCH bytes at once: the default of 64 MB, held twice by the JVM and
     once by each worker, is a fifth of a small executor's memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    found = re.fullmatch(r"(\d+)b?", spark.conf.get(name, "1b"))
+    found = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
     if found and int(found[1]) > BATCH:
         spark.conf.set(name, f"{BATCH}b")
 
