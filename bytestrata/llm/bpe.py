@@ -18,7 +18,7 @@ import pyarrow as pa
 from bytestrata.llm.textkit import raw_bytes, same_spans, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-KEEP = 1_500_000
+KEEP = 300_000
 
 
 def _kinds() -> np.ndarray:

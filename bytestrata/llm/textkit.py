@@ -6,6 +6,8 @@ white space, so the words are those of ``[^\\x20\\x09-\\x0D]+`` over code points
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -20,6 +22,7 @@ SEED = U64(0x5851F42D4C957F2D)
 FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 LONG = 64
 RUN = 1 << 14
+_STATE: dict[str, object] = {}
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -118,6 +121,16 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     return same
 
 
+def give_back() -> None:
+    """Hands memory that is free inside this process back to the system; a Python worker lives on, idle or with other work."""
+    pa.default_memory_pool().release_unused()
+    if "trim" not in _STATE:
+        with contextlib.suppress(OSError):
+            _STATE["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if _STATE.get("trim"):
+        _STATE["trim"](0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about ``most`` bytes of text; a longer text stands alone."""
     for batch in batches:
@@ -131,6 +144,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, column, lengths, total
+    give_back()
 
 
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
