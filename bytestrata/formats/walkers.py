@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bytestrata.formats import containers, executables, media
-from bytestrata.formats.tree import Field, Node, View, fields
+from bytestrata.formats import containers, executables, images, media, packed, programs
+from bytestrata.formats.tree import WHITE, Field, Node, View, fields
 
 # Fixed values of the formats.
 BMP_COMPRESSION = {0: "BI_RGB", 1: "BI_RLE8", 2: "BI_RLE4", 3: "BI_BITFIELDS", None: "unknown ({})"}
@@ -94,7 +94,7 @@ def _riff(v: View, form: str, special: str, inside, data_label) -> list[Node]:
             out.append(Node(f"Chunk: {kind}", at, stop, kids + inside(v, body), True))
         else:
             kids += [Node(data_label(kind), body, end)] * (end > body)
-            out.append(Node(f"Chunk: {kind.rstrip()}", at, stop, kids))
+            out.append(Node(f"Chunk: {kind.rstrip(WHITE)}", at, stop, kids))
         at = stop
     return out
 
@@ -175,10 +175,10 @@ def tar(v: View) -> list[Node]:
 
 def _tar_entry(v: View, at: int) -> Node:
     raw = lambda o, n: v.data[at + o : at + o + n].split(b"\0", 1)[0]
-    text = lambda o, n: raw(o, n).decode("utf-8", "replace").strip()
+    text = lambda o, n: raw(o, n).decode("utf-8", "replace").strip(WHITE)
 
     def octal(o: int, n: int) -> int:
-        s = raw(o, n).decode("latin-1").strip()
+        s = raw(o, n).decode("utf-8", "replace").strip(WHITE)
         digits = s.removeprefix("+")
         return int(digits, 8) if digits.isascii() and digits.isdigit() and max(digits) < "8" and int(digits, 8) < 2**64 else 0
 
@@ -226,9 +226,10 @@ def flac(v: View) -> list[Node]:
 
 
 WALKERS = {"WAV": wav, "FLAC": flac, "WebP": webp, "PNG": png, "BMP": bmp, "SQLite": sqlite, "TAR": tar, "Gzip": gzip, "Data": fallback}
-WALKERS |= containers.WALKERS | executables.WALKERS | media.WALKERS
+WALKERS |= containers.WALKERS | executables.WALKERS | images.WALKERS | media.WALKERS | packed.WALKERS | programs.WALKERS
 
 
-def dissect(file_type: str, data: bytes) -> list[Node]:
-    """Ranges of content recognised as file_type. Types without a walker yet: the whole content as one range."""
-    return WALKERS.get(file_type, fallback)(View(data))
+def dissect(file_type: str, data: bytes, more: dict | None = None) -> list[Node]:
+    """Ranges of content recognised as file_type. Types without a walker yet: the whole content as one range. more: walkers
+    of registered types."""
+    return ((more or {}).get(file_type) or WALKERS.get(file_type, fallback))(View(data))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ PYTHON_MAGICS = [
 ]
 CONSOLE_MEMORY = [(0x80000000, 0x81800000), (0x90000000, 0x94000000)]
 PDF_WINDOW = 1024
+DOS_IMAGE = 0xFF00
+DOS_EARLY = 32
+DOS_PRINTABLE = 90
 
 
 class Bytes:
@@ -87,8 +92,29 @@ def _python(b: Bytes) -> Column:
     return b.at(2, b"\r\n") & ((found[8] & code(8)) | (found[12] & code(12)) | (found[16] & (b.little(4, 4) <= 3) & code(16)))
 
 
-def identify(content: Column) -> Column:
-    """Name of a content's format: the first rule that holds; Data if none does."""
+def _dos_com(b: Bytes) -> Column:
+    """No magic: a small image that is no text, begins with a known instruction and calls DOS."""
+    chars = F.decode(b.content, "ISO-8859-1")
+    op, mode, size = b.big(0, 1), b.big(1, 1), b.size
+    two, three = size >= 2, size >= 3
+    calls = lambda text: text.rlike("\\xCD[\\x20\\x21]")
+    same = (mode >= 0xC0) & (mode % 8 == F.floor(mode / 8) % 8)
+    plain = op.isin(0x0E, 0x1E, 0xFA, 0xFC) | (op.between(0xB0, 0xB7) & two) | (op.between(0xB8, 0xBF) & three) | (op.isin(0x29, 0x2B, 0x31, 0x33) & same) | ((op == 0x8C) & (mode >= 0xC0) & (F.floor(mode / 8) % 8 < 4))
+    near = F.when(mode > 127, mode - 254).otherwise(mode + 2)
+    target = F.when((op == 0xE9) & three, (b.little(1, 2) + 3) % 0x10000).when((op == 0xEB) & two, F.pmod(near, F.lit(0x10000)))
+    after = F.when(op == 0xE9, 3).otherwise(2)
+    enters = F.when(target.isNotNull(), (target >= after) & (target < size) & calls(chars)).otherwise(plain & calls(F.left(chars, F.lit(DOS_EARLY + 1))))
+    printable = F.length(F.regexp_replace(chars, "[^\\x20-\\x7E\\t\\n\\r]", ""))
+    able = size.between(2, DOS_IMAGE) & ~b.at(0, b"MZ") & ~b.at(0, b"ZM")
+    return F.when(able, (printable * 100 < size * DOS_PRINTABLE) & enters).otherwise(False)
+
+
+#: (name, rule over Bytes, name of the rule that it stands before; None: last) of formats added by register_dissector().
+REGISTERED: list[tuple[str, Callable[[Bytes], Column], str | None]] = []
+
+
+def ladder(content: Column) -> list[tuple[str, Column]]:
+    """(name, rule) in the order in which they are asked."""
     b = Bytes(content)
     at, size, little, big = b.at, b.size, b.little, b.big
     stub = at(0, b"MZ")
@@ -132,8 +158,17 @@ def identify(content: Column) -> Column:
         ("TE", at(0, b"VZ") & (size >= 40) & little(2, 2).isin(TERSE_MACHINES) & big(4, 1).between(1, 96) & (little(6, 2) > 40) & (big(4, 1) * 40 + 40 <= size)),
         ("Gzip", at(0, b"\x1f\x8b")),
         ("PDF", F.decode(F.substring(content, 1, PDF_WINDOW + 5), "ISO-8859-1").rlike("(^|[\\r\\n])%PDF-[0-9]")),
+        ("DOS COM", _dos_com(b)),
     ]
-    ladder = None
-    for name, rule in rules:
-        ladder = F.when(rule, name) if ladder is None else ladder.when(rule, name)
-    return ladder.otherwise("Data")
+    for name, rule, before in REGISTERED:
+        at = next((i for i, (n, _) in enumerate(rules) if n == before), len(rules))
+        rules.insert(at, (name, rule(b)))
+    return rules
+
+
+def identify(content: Column) -> Column:
+    """Name of a content's format: the first rule that holds; Data if none does."""
+    found = None
+    for name, rule in ladder(content):
+        found = F.when(rule, name) if found is None else found.when(rule, name)
+    return found.otherwise("Data")

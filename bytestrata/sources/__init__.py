@@ -1 +1 @@
-"""Part of the binary structure engine."""
+"""Files as rows."""
