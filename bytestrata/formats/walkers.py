@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bytestrata.formats import containers, executables, images, media, packed, programs
+from bytestrata.formats import console, containers, executables, images, mainframe, matroska, media, midi, packed, programs
 from bytestrata.formats.tree import WHITE, Field, Node, View, fields
 
 # Fixed values of the formats.
@@ -226,7 +226,8 @@ def flac(v: View) -> list[Node]:
 
 
 WALKERS = {"WAV": wav, "FLAC": flac, "WebP": webp, "PNG": png, "BMP": bmp, "SQLite": sqlite, "TAR": tar, "Gzip": gzip, "Data": fallback}
-WALKERS |= containers.WALKERS | executables.WALKERS | images.WALKERS | media.WALKERS | packed.WALKERS | programs.WALKERS
+for more in (console, containers, executables, images, mainframe, matroska, media, midi, packed, programs):
+    WALKERS |= more.WALKERS
 
 
 def dissect(file_type: str, data: bytes, more: dict | None = None) -> list[Node]:
