@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import datetime
 import struct
-from decimal import Decimal
 
-from bytestrata.formats.tree import Node, View
+from bytestrata.formats.tree import Node, View, decimal
 
 # Fixed values of the format: id in hex, name, kind (m master, u unsigned, i signed, f float, s text, d date, b binary).
 ELEMENTS = {
@@ -207,14 +206,6 @@ def string(raw: bytes) -> str:
     return text if len(text) <= CHARS else text[:CHARS] + "…"
 
 
-def decimal(x: float) -> str:
-    """A float with the fewest digits that name it, never with an exponent."""
-    if x != x:
-        return "NaN"
-    text = str(x) if x in (float("inf"), float("-inf")) else f"{Decimal(repr(x)):f}"
-    return text.removesuffix(".0")
-
-
 def _date(ns: int) -> str:
     return (EPOCH + datetime.timedelta(seconds=ns // 10**9)).strftime("%Y-%m-%d %H:%M:%S UTC")
 

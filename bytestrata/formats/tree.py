@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 
 class Node:
     """A labelled half-open range. ``kids`` None: a leaf."""
@@ -86,3 +89,24 @@ def record(v: View, at: int, layout: list[Field], order: str) -> tuple[list[Node
 def OPAQUE(n: int) -> str:  # noqa: N802
     """How a field is shown that has a name and no value."""
     return ""
+
+
+ESCAPES = {"\0": "\\0", "\t": "\\t", "\n": "\\n", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+
+
+def escaped(text: str, inner: bool = True) -> str:
+    """Text as it stands between quotes: what has no shape of its own by its number. inner: marks that join the character
+    before them too, otherwise only one that begins the text."""
+
+    def one(i: int, c: str) -> str:
+        joins = (inner or not i) and unicodedata.category(c) in ("Mn", "Me")
+        return ESCAPES.get(c) or (c if c.isprintable() and not joins else f"\\u{{{ord(c):x}}}")
+
+    return "".join(one(i, c) for i, c in enumerate(text))
+
+
+def decimal(x: float, kind: type = np.float64) -> str:
+    """The fewest digits that name a number of this width, never with an exponent."""
+    if x != x:
+        return "NaN"
+    return str(float(x)) if x in (float("inf"), float("-inf")) else np.format_float_positional(kind(x), trim="-")

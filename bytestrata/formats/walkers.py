@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bytestrata.formats import console, containers, executables, images, mainframe, matroska, media, midi, packed, programs
+from bytestrata.formats import console, containers, executables, images, java, mainframe, matroska, media, midi, packed, programs, wasm, xz
 from bytestrata.formats.tree import WHITE, Field, Node, View, fields
 
 # Fixed values of the formats.
@@ -226,7 +226,7 @@ def flac(v: View) -> list[Node]:
 
 
 WALKERS = {"WAV": wav, "FLAC": flac, "WebP": webp, "PNG": png, "BMP": bmp, "SQLite": sqlite, "TAR": tar, "Gzip": gzip, "Data": fallback}
-for more in (console, containers, executables, images, mainframe, matroska, media, midi, packed, programs):
+for more in (console, containers, executables, images, java, mainframe, matroska, media, midi, packed, programs, wasm, xz):
     WALKERS |= more.WALKERS
 
 
