@@ -1,4 +1,4 @@
-"""Java classes and WebAssembly."""
+"""Java classes, WebAssembly, Python and DEX."""
 
 import struct
 
@@ -110,3 +110,75 @@ def test_wasm_components_and_odds():
     assert max(r[2] for r in flat(dissect("WebAssembly", deep))) < 12
     odd = [r[3] for r in flat(dissect("WebAssembly", WASM[:8] + section(1, vec(b"\x60\0\0", b"\x5f\0")) + section(8, b"\1z") + b"\1\x7f\0"))]
     assert "Unparsed data" in odd and "Trailing bytes" in odd and "Size: 127 (truncated)" in odd
+
+
+def marshalled(source, magic=3571, header=None):
+    import marshal
+
+    return struct.pack("<H", magic) + b"\r\n" + (header or bytes(4) + struct.pack("<II", 86400, len(source))) + marshal.dumps(compile(source, "m.py", "exec"))
+
+
+PY = "def f(a, *b):\n    return [1.5, 1099511627776, %d, 'é\\n', b'x', 3j, ..., a, (None, True), 'w w']\n" % (2**200)
+
+
+def test_python():
+    data = marshalled(PY)
+    found = flat(dissect("Python bytecode", data))
+    got = [r[3] for r in found]
+    assert [r[3].split(" [ref")[0] for r in found if r[2] == 0] == ["Header", 'Marshalled Code object "<module>"'] and found[-1][5] == len(data)
+    assert {"Magic: 3571 (Python 3.13)", "Flags: 0x0 (timestamp-based)", "Source mtime: 86400 (1970-01-02 00:00:00 UTC)", "co_argcount: 1"} <= set(got)
+    assert any(x.startswith('[0] Code object "f"') or "Code object \"f\"" in x for x in got) and any("Float: 1.5" in x for x in got) and any("Complex: (0+3j)" in x for x in got)
+    assert any("Long: 1099511627776" in x for x in got) and any("Long: (14 digits)" in x for x in got) and any("Ref #" in x and " → " in x for x in got)
+    assert any("VARARGS" in x for x in got) and any('"é\\n"' in x for x in got)
+    for n in range(len(data)):
+        flat(dissect("Python bytecode", data[:n]))
+    assert "Trailing data (2 bytes)" in {r[3] for r in flat(dissect("Python bytecode", data + b"??"))}
+
+
+def test_python_odds():
+    py = lambda body, magic=62211, head=bytes(4): flat(dissect("Python bytecode", struct.pack("<H", magic) + b"\r\n" + head + body))
+    old = b"c" + struct.pack("<4i", 0, 0, 1, 0x40) + b"s\1\0\0\0d" + b"(\0\0\0\0" * 5 + b"s\4\0\0\0m.py" + b"t\3\0\0\0fun" + struct.pack("<i", 3) + b"s\1\0\0\0\xff"
+    got = [r[3] for r in py(old)]
+    assert got[3] == 'Marshalled Code object "fun"' and 'co_code: Str: "d"' in got and "co_lnotab: Str: 1 bytes" in got and "co_flags: 0x00000040 (NOFREE)" in got
+    assert [r[3] for r in py(b"?abc")][-2:] == ["Marshalled Unknown marshal type 0x3F '?' (parsing stopped)", "Unparsed data (3 bytes)"]
+    assert "Nesting too deep (parsing stopped)" in [r[3] for r in py(b")\1" * 100 + b"N")][-1]
+    assert [r[3] for r in py(b"{NT0")][-4:] == ["Marshalled Dict (1 items)", "Key: None", "Value: True", "NULL (end of dict)"]
+    assert [r[3] for r in py(b"l\xfe\xff\xff\xff\1\0\1\0")][-1] == "Marshalled Long: -32769" and [r[3] for r in py(b"l\0\0")][-1] == "Marshalled Truncated object"
+    hashed = flat(dissect("Python bytecode", marshalled("1", header=struct.pack("<I", 3) + bytes(range(8)))))
+    assert hashed[2][3] == "Flags: 0x3 (hash-based, checked)" and hashed[3][3] == "Source hash: 0001020304050607"
+
+
+def dex_file():
+    texts = [b"LA;", b"V", b"main", b"it's", "é\U0001f600".encode("utf-16-be")]
+    texts[4] = b"\xc3\xa9\xed\xa0\xbd\xed\xb8\x80"
+    at = 0x70 + 20 + 8 + 12 + 8 + 8 + 32
+    strings, place = b"", []
+    for t in texts:
+        place.append(at + len(strings))
+        strings += bytes([len(t)]) + t + b"\0"
+    listed = at + len(strings)
+    strings += struct.pack("<IH", 1, 0)
+    mapped = at + len(strings)
+    data = strings + struct.pack("<I", 1) + struct.pack("<HHII", 0x2002, 0, 5, at)
+    body = struct.pack("<5I", *place) + struct.pack("<2I", 0, 1) + struct.pack("<3I", 1, 1, listed) + struct.pack("<HHI", 0, 1, 3) + struct.pack("<HHI", 0, 0, 2)
+    body += struct.pack("<8I", 0, 0x11, 0xFFFFFFFF, 0, 4, 0, 0, 0)
+    tables = [v for n, w in ((5, 20), (2, 8), (1, 12), (1, 8), (1, 8), (1, 32)) for v in (n, w)]
+    offsets, p = [], 0x70
+    for n, w in zip(tables[::2], tables[1::2], strict=True):
+        offsets += [n, p]
+        p += w
+    size = 0x70 + len(body) + len(data)
+    return b"dex\n035\0" + bytes(24) + struct.pack("<3I", size, 0x70, 0x12345678) + struct.pack("<3I", 0, 0, mapped) + struct.pack("<12I", *offsets) + struct.pack("<2I", len(data), at) + body + data
+
+
+def test_dex():
+    data = dex_file()
+    found = flat(dissect("DEX", data))
+    got = {r[3] for r in found}
+    assert [r[3] for r in found if r[2] == 0][0:3] == ["DEX header", "string_ids (5 entries)", "type_ids (2 entries)"] and [r[3] for r in found if r[2] == 0][-1].startswith("Data (")
+    assert {"proto_ids[0]: (LA;)V", "field_ids[0]: LA;->it's:V", "method_ids[0]: LA;->main(LA;)V", "class_defs[0]: LA;", "Access flags: 0x11 (public final)", "Superclass: NO_INDEX"} <= got
+    assert {"string_data[3]: \"it\\'s\"", 'string_data[4]: "é\U0001f600"', "String data (5 strings)", "Endian tag: 0x12345678 (little-endian)", 'Source file: string 4 "é\U0001f600"'} <= got
+    assert any(x.startswith("string_data_item: 5 at 0x") for x in got) and "Map list" in got and f"File size: {len(data)}" in got
+    for n in range(len(data)):
+        flat(dissect("DEX", data[:n]))
+    assert "type_ids[0]: string 9 (invalid)" in {r[3] for r in flat(dissect("DEX", data[: 0x70 + 20] + struct.pack("<I", 9) + data[0x70 + 24 :]))}

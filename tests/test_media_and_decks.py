@@ -174,3 +174,40 @@ def test_ranges_of_random_bytes_lie_in_the_content(kind):
     for n in range(300):
         data = bytes(rng.randrange(256) for _ in range(n))
         assert all(0 <= a <= b <= n for *_, a, b, _, _ in rows(kind, data))
+
+
+def words(*numbers):
+    return struct.pack(f">{len(numbers)}I", *numbers)
+
+
+CODE = words(0x3E8, 1) + b"main" + words(0x3E9, 2) + b"NuNuNuNu" + words(0x3EC, 2, 1, 4, 8, 0) + words(0x3F0, 1) + b"go\0\0" + words(4, 0) + words(0x3F1, 4, 16) + b"LINE" + words(1) + b"a.c\0" + words(0x3F2)
+PROGRAM = words(0x3F3, 1) + b"lib\0" + words(0, 2, 0, 1, 0x40000002, 3) + CODE + words(0x3F7) + struct.pack(">HHHH", 1, 0, 6, 0) + words(0x3EB, 3, 0x3F2)
+
+
+def test_amiga_program():
+    found = rows("Amiga Hunk", PROGRAM)
+    got = {r[3] for r in found}
+    top = [r[3] for r in found if r[2] == 0]
+    assert top == ["HUNK_HEADER (2 hunks)", "Hunk 0: CODE (8 bytes, CHIP)", "HUNK_DREL32 (as RELOC32SHORT) (1 relocations)", "Hunk 1: BSS (12 bytes, ANY)"]
+    assert {"Library: lib", "Hunk 0: 8 bytes (CHIP)", "HUNK_NAME: main", "Code", "To hunk 1: 2 offsets", "Offset: 0x000004", "go = 0x4", "HUNK_DEBUG (LINE, 16 bytes)", "Source file: a.c"} <= got
+    assert all(0 <= r[4] <= r[5] <= len(PROGRAM) for r in found) and found[-1][5] == len(PROGRAM)
+    for n in range(len(PROGRAM)):
+        rows("Amiga Hunk", PROGRAM[:n])
+    assert rows("Amiga Hunk", PROGRAM[:20])[0][3] == "Unparsed data (truncated HUNK_HEADER)"
+    over = rows("Amiga Hunk", LOAD + words(0x3F5, 0, 7, 9))
+    assert [r[3] for r in over if r[2] == 0][1:] == ["HUNK_OVERLAY (table 0 longwords)", "Unparsed data (overlays not parsed)"]
+    assert rows("Amiga Hunk", LOAD + words(0x3E7, 0))[-1][3] == "Unparsed data (unknown hunk ID 0x000003E7)"
+    assert rows("Amiga Hunk", LOAD + words(0x20000123, 1, 5))[-4][3] == "Advisory hunk (4 bytes)"
+
+
+def test_amiga_units():
+    ext = words(0x3EF, 0x01000001) + b"def\0" + words(8, 0x81000001) + b"ref\0" + words(2, 4, 8) + words(0x82000001) + b"com\0" + words(16, 1, 0) + words(0)
+    unit = words(0x3E7, 1) + b"unit" + words(0x3EA, 1, 7) + ext + words(0x3F2)
+    found = rows("Amiga Hunk", words(0x3FA, len(unit) // 4) + unit + words(0x3FB, 1, 0))
+    got = {r[3] for r in found}
+    assert {"HUNK_UNIT: unit", "Hunk 0: DATA (4 bytes, ANY)", "HUNK_EXT (3 entries)", "EXT_DEF def = 0x8", "EXT_REF32 ref (2 refs)", "EXT_COMMON com (size 16, 1 refs)", "HUNK_INDEX (4 bytes)"} <= got
+    many = b"".join(words(1, 0x61626364, i) for i in range(70))
+    tail = rows("Amiga Hunk", words(0x3F0) + many + words(0))
+    assert tail[0][3] == "HUNK_SYMBOL (70 symbols)" and tail[-2][3:6] == ("… more symbols", 4 + 64 * 12, 4 + 70 * 12)
+    assert rows("Amiga Hunk", words(0x3EF, 0x50000000, 0))[-1][3] == "Unparsed data (truncated or malformed HUNK_EXT)"
+    assert rows("Amiga Hunk", words(0x3E8, 1, 0) + b"ab")[-1][3] == "Unparsed data (trailing bytes)"
