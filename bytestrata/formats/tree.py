@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -110,3 +111,15 @@ def decimal(x: float, kind: type = np.float64) -> str:
     if x != x:
         return "NaN"
     return str(float(x)) if x in (float("inf"), float("-inf")) else np.format_float_positional(kind(x), trim="-")
+
+
+#: Days after which the calendar repeats, and its years.
+CYCLE, CYCLE_YEARS = 146_097, 400
+
+
+def moment(seconds: int) -> str:
+    """Date and time of seconds since 1970, of any year."""
+    days, rest = divmod(seconds, 86_400)
+    cycles, days = divmod(days, CYCLE)
+    day = datetime.date(1970, 1, 1) + datetime.timedelta(days)
+    return f"{day.year + CYCLE_YEARS * cycles:04}-{day:%m-%d} {rest // 3600:02}:{rest // 60 % 60:02}:{rest % 60:02} UTC"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bytestrata.formats import amiga, bpg, console, containers, dex, executables, images, java, mainframe, matroska, media, midi, packed, pdf, pif, programs, psd, pyc, rpm, wasm, xz
+from bytestrata.formats import amiga, bpg, console, containers, dex, executables, images, java, mainframe, matroska, media, midi, packed, pdf, pif, programs, psd, pyc, rar, rpm, terse, wasm, xz
 from bytestrata.formats.tree import WHITE, Field, Node, View, fields
 
 # Fixed values of the formats.
@@ -226,7 +226,7 @@ def flac(v: View) -> list[Node]:
 
 
 WALKERS = {"WAV": wav, "FLAC": flac, "WebP": webp, "PNG": png, "BMP": bmp, "SQLite": sqlite, "TAR": tar, "Gzip": gzip, "Data": fallback}
-for more in (amiga, bpg, console, containers, dex, executables, images, java, mainframe, matroska, media, midi, packed, pdf, pif, programs, psd, pyc, rpm, wasm, xz):
+for more in (amiga, bpg, console, containers, dex, executables, images, java, mainframe, matroska, media, midi, packed, pdf, pif, programs, psd, pyc, rar, rpm, terse, wasm, xz):
     WALKERS |= more.WALKERS
 
 
