@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytestrata.operators import blocks as B
+from bytestrata.plans import formats
 
 
 def _le(c: Column, width: int) -> Column:
@@ -276,3 +277,5 @@ ORACLES = {
       SELECT path, unnest(['CPU type: x86_64', 'Load command: LC_MAIN', 'Command size: ' || (n + 8), 'Load command: LC_SYMTAB', 'Command size: 8']) AS label,
       CAST(unnest([4, 32, 36, 40 + n, 44 + n]) AS BIGINT) AS start, CAST(unnest([8, 40 + n, 40, 48 + n, 48 + n]) AS BIGINT) AS "end" FROM t""",
 }
+QUERIES |= formats.QUERIES
+ORACLES |= formats.ORACLES
