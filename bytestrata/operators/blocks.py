@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +29,26 @@ def register_dissector(name: str, rule: Callable[[Bytes], Column], walker: Calla
     _WALKERS[name] = walker
 
 
+_LADDERS: dict[tuple, Column] = {}
+
+
+def _file_type() -> Column:
+    """identify() of a column "content", built once an application: it is some thousand calls to the JVM."""
+    app = SparkContext._active_spark_context
+    if app is None:
+        return identify(F.col("content"))
+    known = (app.applicationId, *((name, id(rule), before) for name, rule, before in REGISTERED))
+    if known not in _LADDERS:
+        _LADDERS.clear()
+        _LADDERS[known] = identify(F.col("content"))
+    return _LADDERS[known]
+
+
 def blocks(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """files(key, content) -> a row per labelled range, with key and file_type. Null content gives no row. A content's rows
     leave in parts of ROWS_AT_ONCE; contents themselves come in batches that Spark bounds by bytes."""
-    slim = files.where(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).alias("content"), identify(F.col(content)).alias("file_type"))
+    bare = files.where(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).alias("content"))
+    slim = bare.select("key", "content", _file_type().alias("file_type"))
     kind, more = slim.schema["key"].dataType.simpleString(), dict(_WALKERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
