@@ -122,18 +122,24 @@ def highlight(ranges: DataFrame, key: str = "path", width: int = 16) -> DataFram
     return lines.select(key, "line", F.greatest("start", F.col("line") * width).alias("hl_start"), F.least("end", (F.col("line") + 1) * width).alias("hl_end"))
 
 
+def _by_shuffle(df: DataFrame) -> DataFrame:
+    """df, never to be broadcast: Spark takes a block table to be as small as the contents it comes from, and the keys of a
+    compressed file to be as small as the file, so that either would be built whole on the driver."""
+    return df.hint("merge")
+
+
 def leaf_at(tree: DataFrame, offsets: DataFrame, key: str = "path") -> DataFrame:
     """offsets(key, offset) -> (key, offset, idx, label): from the top, the first child in order that holds the offset; idx -1
     and no label where no range does."""
     asked = offsets.select(key, "offset").distinct()
-    hit = tree.join(asked, key).where("start <= offset and offset < end").select(key, "offset", "idx", "parent", "label")
+    hit = tree.join(_by_shuffle(asked), key).where("start <= offset and offset < end").select(key, "offset", "idx", "parent", "label")
     first = hit.groupBy(key, "offset", "parent").agg(F.min(F.struct("idx", "label")).alias("first"))
     # A node counts if its parent does; descend by collecting the first children, of which a node has one at most.
     own = first.groupBy(key, "offset").agg(F.map_from_entries(F.collect_list(F.struct("parent", "first"))).alias("next"))
     found = F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("string").alias("label"))
     walk = F.aggregate(F.sequence(F.lit(1), F.size("next")), found, lambda at, _: F.coalesce(F.try_element_at(F.col("next"), at["idx"]), at))
     leaves = own.select(key, "offset", walk.alias("leaf"))
-    return offsets.join(leaves, [key, "offset"], "left").select(key, "offset", F.coalesce("leaf.idx", F.lit(-1)).alias("idx"), F.col("leaf.label").alias("label"))
+    return offsets.join(_by_shuffle(leaves), [key, "offset"], "left").select(key, "offset", F.coalesce("leaf.idx", F.lit(-1)).alias("idx"), F.col("leaf.label").alias("label"))
 
 
 def parents(tree: DataFrame, key: str = "path") -> DataFrame:

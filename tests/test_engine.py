@@ -38,3 +38,9 @@ def test_labels_and_every_truncation(kind, data, some):
     assert some <= labels(kind, data)
     for n in range(len(data)):
         flat(dissect(kind, data[:n]))
+
+
+@pytest.mark.parametrize("name", ["missing_offsets"])
+def test_no_block_table_goes_through_the_driver(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
