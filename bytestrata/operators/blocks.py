@@ -145,7 +145,7 @@ def leaf_at(tree: DataFrame, offsets: DataFrame, key: str = "path") -> DataFrame
 def parents(tree: DataFrame, key: str = "path") -> DataFrame:
     """Each range with the label and bounds of the one around it; null at the top."""
     around = tree.select(key, F.col("idx").alias("parent"), F.col("label").alias("parent_label"), F.col("start").alias("parent_start"), F.col("end").alias("parent_end"))
-    return tree.join(around, [key, "parent"], "left")
+    return tree.join(_by_shuffle(around), [key, "parent"], "left")
 
 
 def ancestors(tree: DataFrame, key: str = "path") -> DataFrame:
@@ -156,7 +156,7 @@ def ancestors(tree: DataFrame, key: str = "path") -> DataFrame:
     now = links.select(key, "idx", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     out, up = now, links.select(key, F.col("idx").alias("ancestor"), "parent")
     for step in range(2, deepest + 1):
-        now = now.join(up, [key, "ancestor"]).select(key, "idx", F.col("parent").alias("ancestor"), F.lit(step).alias("steps"))
+        now = now.join(_by_shuffle(up), [key, "ancestor"]).select(key, "idx", F.col("parent").alias("ancestor"), F.lit(step).alias("steps"))
         out = out.unionByName(now)
     return out
 

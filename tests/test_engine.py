@@ -40,7 +40,7 @@ def test_labels_and_every_truncation(kind, data, some):
         flat(dissect(kind, data[:n]))
 
 
-@pytest.mark.parametrize("name", ["missing_offsets", "offset_lookup"])
+@pytest.mark.parametrize("name", ["missing_offsets", "offset_lookup", "parent_links"])
 def test_no_block_table_goes_through_the_driver(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
