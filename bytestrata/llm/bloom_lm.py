@@ -1,10 +1,16 @@
-"""Bigram language model in a log-frequency Bloom filter.
+"""Bigram language model in a log-frequency Bloom filter, dealt over segments that answer for themselves.
 
-Counting: each task counts the words and bigrams of its texts in numpy and sends them, as packed runs, to segments
-dealt by the top bits of their hashes, so that no frequent word or pair makes a hot key. A segment sums its counts.
-For bigrams it then enters (bigram, level) for every level up to 1 + floor(log2(count)) into its own part of the
-filter, at ``probes`` places; the part's size follows its number of entries. It also tells each history u how many
-successors T(u) it met and the sum S(u) of their counts as the filter gives them back; these go to u's own segment.
+Runs: each task cuts its texts into runs of about ``task_tokens`` tokens and writes each, as words and the tokens' places
+among them, to a file of the shared folder. Texts and tokens never move; what moves is sent once for each run.
+
+Counting: a run sends its distinct bigrams, as packed hashes with the counts of its training texts, to segments dealt by
+the top bits of their hashes, so that no frequent word or pair makes a hot key. A segment sums the counts and enters
+(bigram, level) for every level up to 1 + floor(log2(count)) into its own part of the filter, at ``probes`` places; the
+part's size follows its number of entries. It reads its part for every run that sent a bigram, and tells one of the runs
+that know a trained bigram, the first by name, that the bigram is its own to account for.
+
+Figures: a run so knows for each of its words u how many successors T(u) it accounts for and the sum S(u) of their
+quantised counts. These and the counts of words go to segments dealt by the words' hashes, which return the sums.
 
 Scoring: a bigram's count is read back by probing levels 1, 2, ... until one is missing; level l stands for 2**(l - 1),
 which no true count is below. With add-one unigrams p1, in which all unknown words are one more word, the probability of
@@ -12,26 +18,28 @@ w after u is (count(u w) + (C(u) - S(u) + T(u)) * p1(w)) / (C(u) + T(u)): what q
 backoff, so that the probabilities after each u add up to 1, but for the false positives of the filter. After an unknown
 word it is p1(w). Nothing is tuned.
 
-Bounds: a pass broadcasts at most ``filter_mb`` of filter; a larger filter is split by segments into several passes, each
-scoring the tokens whose bigrams lie in its part, and the parts' sums add up. Figures of words are broadcast up to
-``vocabulary_mb`` and joined to each document by shuffle beyond. Words are told apart by 64-bit hashes.
+Bounds: a task holds one run or one segment; nothing is broadcast, and the driver gets two numbers. Executors open the
+shared folder by URI. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytestrata.llm.scratch import Scratch
-from bytestrata.llm.textkit import U64, mix, slices, words
+from bytestrata.llm.textkit import U64, give_back, mix, slices, words
 
 END = U64(0x1F0E3DAD99908345)
+PAIR = U64(0xD6E8FEB86659FD93)
 LEVELS = 40
 FIGURES = ["n_tokens", "n_known", "base_score", "score"]
 COUNT = np.concatenate(([0.0], 2.0 ** np.arange(LEVELS + 1)))
@@ -39,6 +47,8 @@ COUNT = np.concatenate(([0.0], 2.0 ** np.arange(LEVELS + 1)))
 
 @dataclass(frozen=True)
 class Params:
+    """filter_mb, vocabulary_mb: bounds of broadcasts that are no longer made, whatever the values."""
+
     probes: int = 6
     segment_tokens: int = 1 << 20
     filter_mb: int = 160
@@ -58,29 +68,25 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def histories(t: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def histories(t: np.ndarray, bounds: np.ndarray, end) -> np.ndarray:
     before = np.empty_like(t)
     before[1:] = t[:-1]
     if len(t):
-        before[bounds[:-1]] = END
+        before[bounds[:-1]] = end
     return before
 
 
-def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(u) * U64(0xD6E8FEB86659FD93) + w)
-
-
 def _pack(h: np.ndarray, c: np.ndarray, width: int, u: np.ndarray | None = None) -> tuple[bytes, bytes, bytes, bytes]:
-    """Hashes seen once, hashes seen more often, their counts, the histories of both. width: bytes kept of a hash, the
-    lowest ones. Counts are those of one flush, which holds fewer than 2**32 tokens."""
+    """Hashes seen once, other hashes, their counts, the histories of both. width: bytes kept of a hash, the lowest ones.
+    Counts are those of one run, which holds fewer than 2**32 tokens."""
     cut = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
     one = c == 1
     before = b"" if u is None else u[one].astype("<u8").tobytes() + u[~one].astype("<u8").tobytes()
     return cut(h[one]), cut(h[~one]), c[~one].astype("<u4").tobytes(), before
 
 
-def _unpack(singles: list[bytes], manys: list[bytes], counts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, their counts, and where each is first met in singles, then manys."""
+def _unpack(singles: list[bytes], manys: list[bytes], counts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, their counts, where each is first met in singles, then manys, and each of these' place among them."""
 
     def grow(parts: list[bytes]) -> np.ndarray:
         raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
@@ -89,47 +95,139 @@ def _unpack(singles: list[bytes], manys: list[bytes], counts: list[bytes], width
         return out.view("<u8").reshape(-1).astype(np.uint64)
 
     a, b = grow(singles), grow(manys)
-    h = np.concatenate((a, b))
     c = np.concatenate((np.ones(len(a), np.int64), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)))
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[heads], np.add.reduceat(c[order], heads) if len(h) else c, order[heads]
-
-
-def counter(bits: int, task_tokens: int):
-    """Counts of words (kind 0) and bigrams (kind 1), a row per segment and several million tokens."""
-
-    def flush(kind: int, width: int, h: np.ndarray, c: np.ndarray, u: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        cuts = np.searchsorted(h >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        rows = [(s, *_pack(h[a:b], c[a:b], width, None if u is None else u[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        for at in range(0, len(rows), 64):
-            part = list(zip(*rows[at : at + 64], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(part[0]), pa.int32()), pa.array(part[0], pa.int32()), *(pa.array(x, pa.binary()) for x in part[1:])],
-                ["kind", "segment", "singles", "manys", "counts", "histories"],
-            )
-
-    def flush_all(one: list[np.ndarray], before: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t, u = np.concatenate(one), np.concatenate(before)
-        yield from flush(0, 8, *np.unique(t, return_counts=True), None)
-        grams = pair(u, t)
-        del t
-        grams, first, c = np.unique(grams, return_index=True, return_counts=True)
-        yield from flush(1, 6, grams, c, u[first])
+    h, order, heads, back = _grouped(np.concatenate((a, b)))
+    return h, np.add.reduceat(c[order], heads) if len(h) else c, order[heads], back
+
+
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, x's stable order, each value's first place in it, and each element's place among the values."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    return ordered[heads], order, heads, back
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes as the largest takes, which the first byte tells."""
+    most = int(x.max()) if len(x) else 0
+    k = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
+    return bytes([k]) + x.astype(f"<u{k}").tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def _cuts(seg: np.ndarray) -> list[tuple[int, int, int]]:
+    """(segment, from, to) of the runs of equal values."""
+    heads = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(seg) else np.zeros(0, np.int64)
+    return list(zip(seg[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(seg)], strict=True))
+
+
+def _write(root: str, name: str, parts: list[pa.RecordBatch]) -> None:
+    """A file of the shared folder, there at once as a whole. A task that is repeated writes the same again."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    store.create_dir(base, recursive=True)
+    new = f"{base}/new-{uuid.uuid4().hex}"
+    with store.open_output_stream(new) as f:
+        for part in parts:
+            with pa.ipc.new_stream(f, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+    store.move(new, f"{base}/{name}")
+
+
+def _read(root: str, name: str) -> list[pa.Table]:
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    out = []
+    with store.open_input_file(f"{base}/{name}") as f:
+        size = f.size()
+        while f.tell() < size:
+            out.append(pa.ipc.open_stream(f).read_all())
+    return out
+
+
+class Run:
+    """words: distinct hashes, frequent ones first; ranks: each token's place among them; bounds of the texts' tokens; learn:
+    which texts to learn from; keys: the texts' other columns."""
+
+    def __init__(self, words: np.ndarray, ranks: np.ndarray, bounds: np.ndarray, learn: np.ndarray, keys: pa.RecordBatch | pa.Table):
+        self.words, self.ranks, self.bounds, self.learn, self.keys = words, ranks, bounds, learn, keys
+        self.before = histories(ranks, bounds, np.flatnonzero(words == END)[0])
+
+    @classmethod
+    def of(cls, t: np.ndarray, bounds: np.ndarray, learn: np.ndarray, keys: pa.RecordBatch) -> Run:
+        h, order, heads, back = _grouped(t)
+        by = np.argsort(-np.diff(np.append(heads, len(t))), kind="stable")
+        rank = np.empty(len(h), np.uint32)
+        rank[by] = np.arange(len(h), dtype=np.uint32)
+        return cls(h[by], rank[back], bounds, learn, keys)
+
+    def save(self, root: str, name: str) -> None:
+        planes = self.ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
+        parts = [{"words": self.words}, {str(i): np.ascontiguousarray(planes[:, i]) for i in range(4)}, {"n": np.diff(self.bounds), "learn": self.learn}]
+        _write(root, name, [*(pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in x.items()}) for x in parts), self.keys])
+
+    @classmethod
+    def load(cls, root: str, name: str) -> Run:
+        words, planes, texts, keys = _read(root, name)
+        ranks = np.stack([planes.column(i).to_numpy() for i in range(4)], 1).view("<u4").reshape(-1)
+        bounds = np.concatenate(([0], np.cumsum(texts.column("n").to_numpy())))
+        return cls(words.column("words").to_numpy(), ranks, bounds, texts.column("learn").to_numpy(), keys)
+
+    def learned(self) -> np.ndarray:
+        """Of each token, whether it is learned from."""
+        return np.repeat(self.learn, np.diff(self.bounds))
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigrams, their counts in the texts to learn from, one token of each, and each token's place among them."""
+        h, order, heads, back = _grouped(mix((mix(self.words) * PAIR)[self.before] + self.words[self.ranks]))
+        return h, np.add.reduceat(self.learned()[order].astype(np.int64), heads), order[heads], back
+
+
+CELLS = "run string, segment int, singles binary, manys binary, counts binary"
+
+
+def runs(bits: int, task_tokens: int, root: str, keys: list[str]):
+    """Writes runs and sends their bigrams, a row per run and segment. A run's name is that of the same run of a repeated task."""
+
+    def ended(k: int, t: list[np.ndarray], n: list[np.ndarray], rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"{TaskContext.get().partitionId()}-{k}"
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        learn = whole.column("train").to_numpy(zero_copy_only=False)
+        own = whole.select(keys).to_batches()[0] if keys else pa.RecordBatch.from_pydict({"none": pa.nulls(len(learn), pa.int8())})
+        run = Run.of(np.concatenate(t), np.concatenate(([0], np.cumsum(np.concatenate(n)))), learn, own)
+        t.clear()
+        run.save(root, name)
+        h, c, _, _ = run.grams()
+        del run
+        cells = [(name, s, *_pack(h[a:b], c[a:b], 6)[:3]) for s, a, b in _cuts((h >> U64(64 - bits)).astype(np.int64))]
+        for at in range(0, len(cells), 64):
+            part = list(zip(*cells[at : at + 64], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1], pa.int32()), *(pa.array(x, pa.binary()) for x in part[2:])], ["run", "segment", "singles", "manys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, before, n = [], [], 0
+        k, held, t, n, rows = 0, 0, [], [], []
         for batch in slices(batches, "text"):
-            t, bounds = tokens(batch.column(0))
-            one.append(t)
-            before.append(histories(t, bounds))
-            n += len(t)
-            if n >= task_tokens:
-                yield from flush_all(one, before)
-                one, before, n = [], [], 0
-        if n:
-            yield from flush_all(one, before)
+            found, bounds = tokens(batch.column("text"))
+            t.append(found)
+            n.append(np.diff(bounds))
+            rows.append(batch.select([*keys, "train"]))
+            held += len(found)
+            if held >= task_tokens:
+                yield from ended(k, t, n, rows)
+                k, held, t, n, rows = k + 1, 0, [], [], []
+        if held:
+            yield from ended(k, t, n, rows)
+        give_back()
 
     return run
 
@@ -142,75 +240,139 @@ def places(h: np.ndarray, level: int, size: np.ndarray, probes: int) -> Iterator
         yield ((x & U64(0xFFFFFFFF)) + U64(j) * step) % size
 
 
-BUILT = "kind int, segment int, n long, total long, a binary, b binary, c binary"
+def filter_part(c: np.ndarray, h: np.ndarray, probes: int) -> tuple[np.ndarray, bytes]:
+    """The levels of counts (0: none), and a segment's part of the filter."""
+    level = np.frexp(c.astype(float))[1]
+    size = max(64, math.ceil(int(level.sum()) * probes / math.log(2) / 64) * 64)
+    part = np.zeros(size, bool)
+    for i in range(1, int(level.max()) + 1):
+        for at in places(h[level >= i], i, U64(size), probes):
+            part[at] = True
+    return level, np.packbits(part, bitorder="little").tobytes()
 
 
 def builder(probes: int):
-    """Sums a segment's counts. Words: hashes (a) and counts (b). Bigrams: this segment's part of the filter (a), and for
-    each history its hash (b), then its sums of read-back counts and of successors (c)."""
+    """A segment's model as a row. Words (kind 0): hashes (a) and counts (b). Bigrams (kind 1): its part of the filter (a)."""
 
     def run(key, batches):
-        cols = {n: batches.column(n).to_pylist() for n in ("singles", "manys", "counts", "histories")}
         kind = key[0].as_py()
-        h, c, first = _unpack(cols["singles"], cols["manys"], cols["counts"], 6 if kind else 8)
-        if not kind:
-            return _row(kind, key[1].as_py(), len(h), int(c.sum()), h.astype("<u8").tobytes(), c.astype("<u8").tobytes(), b"")
-        level = np.frexp(c.astype(float))[1]
-        size = max(64, math.ceil(int(level.sum()) * probes / math.log(2) / 64) * 64)
-        part = np.zeros(size, bool)
-        for i in range(1, int(level.max()) + 1):
-            for at in places(h[level >= i], i, U64(size), probes):
-                part[at] = True
-        # all singles of all flushes come first in h, and each flush's histories hold its singles' first
-        once = [8 * (len(x) // 6) for x in cols["singles"]]
-        u = np.frombuffer(b"".join([x[:n] for x, n in zip(cols["histories"], once, strict=True)] + [x[n:] for x, n in zip(cols["histories"], once, strict=True)]), "<u8")[first]
-        u, back = np.unique(u, return_inverse=True)
-        sums = np.zeros((2, len(u)), np.int64)
-        np.add.at(sums[0], back, np.int64(1) << (level - 1).astype(np.int64))
-        sums[1] = np.bincount(back, minlength=len(u))
-        return _row(kind, key[1].as_py(), len(h), int(c.sum()), np.packbits(part, bitorder="little").tobytes(), u.tobytes(), sums.astype("<i8").tobytes())
+        h, c, _, _ = _unpack(*(batches.column(n).to_pylist() for n in ("singles", "manys", "counts")), 6 if kind else 8)
+        a, b = (filter_part(c, h, probes)[1], b"") if kind else (h.astype("<u8").tobytes(), c.astype("<u8").tobytes())
+        return pa.table({"kind": pa.array([kind], pa.int32()), "segment": pa.array([key[1].as_py()], pa.int32()), "n": [len(h)], "total": [int(c.sum())], "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary())})
 
     return run
 
 
-def _row(kind: int, segment: int, n: int, total: int, *parts: bytes) -> pa.Table:
-    return pa.table({"kind": pa.array([kind], pa.int32()), "segment": pa.array([segment], pa.int32()), "n": [n], "total": [total]} | {x: pa.array([v], pa.binary()) for x, v in zip("abc", parts, strict=True)})
+ANSWERS = "run string, segment int, levels binary, own binary"
 
 
-def _to_own_segments(bits: int):
-    """Segments' figures of histories, dealt to the segments of the histories."""
+def answering(probes: int):
+    """A segment's counts become its part of the filter, and each run's bigrams, in the order they came in, get the levels that
+    it gives back: a byte each, the highest bit of those the run accounts for, whose true levels follow."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                u, sums = np.frombuffer(b, "<u8"), np.frombuffer(c, "<i8").reshape(2, -1)
-                seg = (u >> U64(64 - bits)).astype(np.int32)
-                heads = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-                ends = np.append(heads[1:], len(u))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seg[heads]), pa.array([u[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary()), pa.array([sums[:, i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary())],
-                    ["segment", "u", "sums"],
-                )
+    def run(key, cells):
+        cells = cells.sort_by("run")
+        singles, manys, counts = (cells.column(n).to_pylist() for n in ("singles", "manys", "counts"))
+        h, c, first, back = _unpack(singles, manys, counts, 6)
+        true, part = filter_part(c, h, probes)
+        f = Filter((np.array([8 * len(part)], np.uint64), np.zeros(1, np.uint64), np.frombuffer(part, np.uint8)), probes)
+        levels, true = f.levels(h).astype(np.uint8)[back], true.astype(np.uint8)[back]
+        levels[first[c > 0]] |= 128
+        a, b = 0, sum(map(len, singles)) // 6
+        out = []
+        for x, y in zip(singles, manys, strict=True):
+            i, j = a + len(x) // 6, b + len(y) // 6
+            found, own = np.concatenate((levels[a:i], levels[b:j])), np.concatenate((true[a:i], true[b:j]))
+            out.append((found.tobytes(), own[found > 127].tobytes()))
+            a, b = i, j
+        return pa.table({"run": cells.column("run"), "segment": cells.column("segment"), "levels": pa.array([x for x, _ in out], pa.binary()), "own": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
-VOCABULARY = "segment int, n long, total long, h binary, c binary, back binary, types binary"
+def _whole(name: str, got: int, want: int) -> None:
+    if got != want:
+        raise ValueError(f"{got} answers for {want} questions of run {name}: its texts changed between two attempts of a task")
+
+
+WORDS = "run string, segment int, h binary, c binary, s binary, t binary"
+
+
+def accounting(bits: int, root: str):
+    """A run's words with their counts and what the run accounts for; writes the levels of its tokens."""
+
+    def run(key, answers):
+        name, answers = key[0].as_py(), answers.sort_by("segment")
+        r = Run.load(root, name)
+        h, c, token, back = r.grams()
+        got = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        _whole(name, len(got), len(h))
+        came = np.argsort(((h >> U64(64 - bits)) << U64(1)) | (c != 1).astype(np.uint64), kind="stable")
+        level = np.empty(len(h), np.uint8)
+        level[came] = got & 127
+        _write(root, f"levels-{name}", [pa.RecordBatch.from_pydict({"level": pa.array(level[back])})])
+        own = came[got > 127]
+        true = np.frombuffer(b"".join(answers.column("own").to_pylist()), np.uint8)
+        _whole(name, len(true), len(own))
+        u, n = r.before[token[own]], len(r.words)
+        count = np.bincount(r.ranks, r.learned(), n).astype(np.int64)
+        s, t = np.bincount(u, 2.0 ** (true.astype(float) - 1), n).astype(np.int64), np.bincount(u, minlength=n)
+        by = np.argsort(r.words)
+        w, count, s, t = r.words[by], count[by], s[by], t[by]
+        rows = [(seg, w[a:b].astype("<u8").tobytes(), _narrow(count[a:b]), _narrow(s[a:b]), _narrow(t[a:b])) for seg, a, b in _cuts((w >> U64(64 - bits)).astype(np.int64))]
+        seg, *columns = zip(*rows, strict=True)
+        out = pa.table({"run": [name] * len(seg), "segment": pa.array(seg, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in zip("hcst", columns, strict=True)})
+        del r, h, c, token, back, came, level, own
+        give_back()
+        return out
+
+    return run
 
 
-def _vocabulary(left, right):
-    """A segment's words: hashes, counts C, backoff masses C - S + T and numbers of successors T."""
-    if not left.num_rows:
-        raise ValueError("a history that is no word")
-    h, c = (np.frombuffer(left.column(x)[0].as_py(), k) for x, k in (("a", "<u8"), ("b", "<u8")))
-    s, t = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-    for u, sums in zip(right.column("u").to_pylist(), right.column("sums").to_pylist(), strict=True):
-        at = np.searchsorted(h, np.frombuffer(u, "<u8"))
-        more = np.frombuffer(sums, "<i8").reshape(2, -1)
-        s[at] += more[0]
-        t[at] += more[1]
-    figures = {"h": h, "c": c.astype("<i8"), "back": c.astype("<i8") - s + t, "types": t}
-    return pa.table({"segment": left.column("segment"), "n": left.column("n"), "total": left.column("total")} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in figures.items()})
+VOCABULARY = "run string, segment int, n long, total long, c binary, back binary, types binary"
+
+
+def _vocabulary(key, asked):
+    """A segment's words for each run that has them, in the order they came in: counts C, backoff masses C - S + T and numbers
+    of successors T. The first row has the segment's number of trained words and of their tokens."""
+    hashes = [np.frombuffer(x, "<u8") for x in asked.column("h").to_pylist()]
+    h, order, heads, back = _grouped(np.concatenate(hashes))
+    c, s, t = (np.add.reduceat(np.concatenate([_wide(x) for x in asked.column(k).to_pylist()])[order], heads) for k in "cst")
+    first = np.zeros((2, len(hashes)), np.int64)
+    first[:, 0] = np.count_nonzero(c), c.sum()
+    ends = np.cumsum([0, *map(len, hashes)])
+    columns = {k: pa.array([_narrow(x[back[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for k, x in (("c", c), ("back", c - s + t), ("types", t))}
+    return pa.table({"run": asked.column("run"), "segment": asked.column("segment"), "n": first[0], "total": first[1]} | columns)
+
+
+def scoring(total: int, distinct: int, root: str, keys: list[str]):
+    """The named columns with each text's figures."""
+
+    def run(key, vocabulary):
+        name, vocabulary = key[0].as_py(), vocabulary.sort_by("segment")
+        r = Run.load(root, name)
+        by = np.argsort(r.words)
+        known = []
+        for k in ("c", "back", "types"):
+            got = np.concatenate([_wide(x) for x in vocabulary.column(k).to_pylist()])
+            _whole(name, len(got), len(by))
+            x = np.empty(len(by))
+            x[by] = got
+            known.append(x)
+        c, mass, types = known
+        p1 = ((c + 1.0) / (total + distinct + 1.0))[r.ranks]
+        seen = COUNT[_read(root, f"levels-{name}")[0].column("level").to_numpy()]
+        seen = np.minimum(seen, np.minimum(c[r.ranks], c[r.before]))
+        whole = (c + types)[r.before]
+        p = np.where(whole > 0, (seen + mass[r.before] * p1) / np.maximum(whole, 1), p1)
+        run_sum = lambda v: pa.array(np.add.reduceat(v, r.bounds[:-1]))  # noqa: E731  no run is empty: END
+        figures = [pa.array(np.diff(r.bounds)), run_sum((c > 0).astype(np.int64)[r.ranks]), run_sum(np.log10(p1)), run_sum(np.log10(p))]
+        out = pa.Table.from_arrays([*(r.keys.column(k) for k in keys), *figures], [*keys, *FIGURES])
+        del r, p1, seen, whole, p
+        give_back()
+        return out
+
+    return run
 
 
 class Filter:
@@ -246,91 +408,6 @@ class Filter:
         return out
 
 
-def gather(df: DataFrame, column: str, kind: str, total: int, places: dict[int, int]) -> np.ndarray:
-    """The segments' arrays in one, without a second copy of them on the driver. places: first element of each segment."""
-    out = np.zeros(total, kind)
-    for r in df.select("segment", column).toLocalIterator():
-        part = np.frombuffer(r[1], kind)
-        out[places[r.segment] : places[r.segment] + len(part)] = part
-    return out
-
-
-def filter_parts(df: DataFrame, sizes: list[tuple[int, int]], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size, start, at = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), 0
-    places = {}
-    for s, n in sizes:
-        size[s], start[s], places[s] = 8 * n, 8 * at, at
-        at += n
-    return size, start, gather(df, "a", "u1", at, places)
-
-
-def _figures(batch, vocabulary, total: int, distinct: int):
-    """Of a run of texts: bounds, bigrams, word counts, unigram probabilities, and of each history: count, backoff mass, count
-    and successors together."""
-    t, bounds = tokens(batch.column("text"))
-    before = histories(t, bounds)
-    grams = pair(before, t)
-    if vocabulary is None:
-        known = {x: np.concatenate([batch.column(f"k{x}").flatten().to_numpy(), [batch.column(f"end_{x}")[0].as_py()]]) for x in ("c", "back", "types")}
-        h = np.concatenate([batch.column("kh").flatten().to_numpy().view(np.uint64), [END]])
-        h, first = np.unique(h, return_index=True)
-        vocabulary = h, *(known[x][first] for x in ("c", "back", "types"))
-    keys, *columns = vocabulary
-    u, back = np.unique(t, return_inverse=True)
-    at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-    there = keys[at] == u if len(keys) else np.zeros(len(u), bool)
-    c, mass, types = ((np.where(there, x[at], 0) if len(keys) else np.zeros(len(u), np.int64)).astype(np.float64) for x in columns)
-    last = np.minimum(np.searchsorted(u, before), len(u) - 1)  # every history is a token of the run: END or a word
-    p1 = ((c + 1.0) / (total + distinct + 1.0))[back]
-    return bounds, grams, c[back], p1, c[last], mass[last], (c + types)[last]
-
-
-def scorer(parts, vocabulary, total: int, distinct: int, bits: int, probes: int, lo: int, hi: int, keys: list[str]):
-    """The named columns with each text's figures; score: the part of the tokens whose bigrams lie in segments lo..hi."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Filter(parts.value, probes)
-        known = vocabulary.value if vocabulary is not None else None
-        for batch in slices(batches, "text"):
-            bounds, grams, c, p1, times, mass, whole = _figures(batch, known, total, distinct)
-            seg = grams >> U64(64 - bits)
-            seen = np.minimum(COUNT[f.levels(grams)], np.minimum(c, times))
-            p = np.where(whole > 0, (seen + mass * p1) / np.maximum(whole, 1), p1)
-            score = np.where((seg >= U64(lo)) & (seg < U64(hi)), np.log10(p), 0.0)
-            run_sum = lambda v: pa.array(np.add.reduceat(v, bounds[:-1]))  # noqa: E731  no run is empty: END
-            figures = [pa.array(np.diff(bounds)), run_sum((c > 0).astype(np.int64)), run_sum(np.log10(p1)), run_sum(score)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), *figures], [*keys, *FIGURES])
-
-    return run
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of the segments."""
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in row], ["h", "c", "back", "types"])
-
-
-def _with_figures(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """docs with the figures of their own words as lists, by shuffle: for vocabularies beyond the bound."""
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            w = words(batch.column(1))
-            lists = [np.unique(w.hashes[a:b]).view(np.int64) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-            for key, x in zip(batch.column(0).to_pylist(), lists, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.binary()), pa.array(x)], ["row_key", "h"])
-
-    figures = vocab.select("h", "c", "back", "types").mapInArrow(_spread, "h long, c long, back long, types long")
-    end = figures.where(F.col("h") == int(END.astype(np.int64))).first()
-    found = docs.select("row_key", "text").mapInArrow(own, "row_key binary, h long").distinct().join(figures, "h")
-    found = found.groupBy("row_key").agg(F.collect_list(F.struct("h", "c", "back", "types")).alias("known"))
-    empty = F.array().cast("array<long>")
-    lists = [F.coalesce(f"known.{x}", empty).alias(f"k{x}") for x in ("h", "c", "back", "types")]
-    ends = [F.lit(end[x] if end else 0).cast("long").alias(f"end_{x}") for x in ("c", "back", "types")]
-    return docs.join(found, "row_key", "left").select("row_key", "text", *lists, *ends)
-
-
 def score_documents(docs: DataFrame, train, p: Params = Params(), text: str = "text") -> DataFrame:
     """docs' columns other than text, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -342,52 +419,16 @@ def score_documents(docs: DataFrame, train, p: Params = Params(), text: str = "t
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     body, learn = F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(train, F.lit(False))
-    slim = docs.select(body.alias("text"), learn.alias("train"))
-    size = slim.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = docs.select(body.alias("text")).agg(F.sum(F.octet_length("text")), F.count("*")).first()
     bits = max(1, min(20, math.ceil(math.log2(((size[0] or 0) / 5 + size[1]) / p.segment_tokens + 1))))
-    counted = slim.where("train").select("text").mapInArrow(counter(bits, p.task_tokens), "kind int, segment int, singles binary, manys binary, counts binary, histories binary")
-    model = scratch.save(counted.groupBy("kind", "segment").applyInArrow(builder(p.probes), BUILT))
-    grams = model.where("kind = 1")
-    told = grams.select("b", "c").mapInArrow(_to_own_segments(bits), "segment int, u binary, sums binary")
-    vocab = scratch.save(model.where("kind = 0").drop("c").groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_vocabulary, VOCABULARY))
-    distinct, total = (x or 0 for x in vocab.agg(F.sum("n"), F.sum("total")).first())
-
     own = [c for c in docs.columns if c not in (text, "train_tokens", *FIGURES)]
-    texts = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(own)), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("row_key"))
-    sizes = sorted((r.segment, r.size) for r in grams.select("segment", F.octet_length("a").alias("size")).collect())
-    passes, held = [0], 0
-    for s, n in sizes:
-        if held and held + n > p.filter_mb << 20:
-            passes.append(s)
-            held = 0
-        held += n
-    passes.append(1 << bits)
-    inline = 32 * distinct <= p.vocabulary_mb << 20
-    once = inline and len(passes) == 2
-    keys, source = [f"_{i}" for i in range(len(own))] if once else ["row_key"], texts
-    if not once:
-        source = texts.groupBy("row_key").agg(F.first("text").alias("text"))
-    vocabulary = None
-    if inline:
-        places, at = {}, 0
-        for r in sorted(vocab.select("segment", "n").collect()):
-            places[r.segment] = at
-            at += r.n
-        vocabulary = spark.sparkContext.broadcast(tuple(gather(vocab, x, kind, at, places) for x, kind in (("h", "<u8"), ("c", "<i8"), ("back", "<i8"), ("types", "<i8"))))
-    else:
-        source = scratch.save(_with_figures(source, vocab))
-    columns = [*keys, "text"] if inline else source.columns
-
-    scores = None
-    for lo, hi in zip(passes[:-1], passes[1:], strict=True):
-        inside = (F.col("segment") >= lo) & (F.col("segment") < hi)
-        parts = spark.sparkContext.broadcast(filter_parts(grams.where(inside), [x for x in sizes if lo <= x[0] < hi], bits))
-        run = scorer(parts, vocabulary, total, distinct, bits, p.probes, lo, hi, keys)
-        schema = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in keys] + ["n_tokens long", "n_known long", "base_score double", "score double"]
-        out = source.select(*columns).mapInArrow(run, ", ".join(schema))
-        scores = out if scores is None else scores.unionByName(out)
-    if not once:
-        whole = scores.groupBy("row_key").agg(*(F.max(c).alias(c) for c in FIGURES[:3]), F.sum("score").alias("score"))
-        scores = texts.drop("text").join(whole, "row_key")
-    named = [F.col(f"_{i}").alias(c) for i, c in enumerate(own)]
+    keys, root = [f"_{i}" for i in range(len(own))], f"{scratch.root}/runs"
+    texts = docs.select(*(F.col(c).alias(k) for k, c in zip(keys, own, strict=True)), body.alias("text"), learn.alias("train"))
+    answers = texts.mapInArrow(runs(bits, p.task_tokens, root, keys), CELLS).groupBy("segment").applyInArrow(answering(p.probes), ANSWERS)
+    asked = answers.groupBy("run").applyInArrow(accounting(bits, root), WORDS)
+    vocabulary = scratch.save(asked.groupBy("segment").applyInArrow(_vocabulary, VOCABULARY))
+    distinct, total = (x or 0 for x in vocabulary.agg(F.sum("n"), F.sum("total")).first())
+    schema = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in keys] + ["n_tokens long", "n_known long", "base_score double", "score double"]
+    scores = vocabulary.groupBy("run").applyInArrow(scoring(total, distinct, root, keys), ", ".join(schema))
+    named = [F.col(k).alias(c) for k, c in zip(keys, own, strict=True)]
     return scores.select(*named, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -113,3 +113,16 @@ def test_filter_reads_back_quantised_counts():
     assert (got >= want).all() and (got == want).mean() > 0.95
     other = f.levels(h + np.uint64(12345))
     assert (other == 0).mean() > 0.9
+
+
+def test_nothing_is_broadcast_or_gathered_on_the_driver(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the model goes through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    gen = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in gen.zipf(1.4, 30) % 25), i % 3 > 0) for i in range(80)] + [(100, None, False), (101, "unseen", False)]
+    probability, _ = model(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = bloom_lm.score_documents(df, F.col("learn"), bloom_lm.Params(probes=30, segment_tokens=100, task_tokens=1)).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: probability(x) for i, x, _ in rows})
