@@ -44,3 +44,20 @@ def test_labels_and_every_truncation(kind, data, some):
 def test_no_block_table_goes_through_the_driver(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_offset_lookup_stays_off_the_driver_while_it_runs(spark):
+    """Nor does Spark turn its joins into broadcasts once it knows the sizes."""
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1g"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        found = QUERIES["offset_lookup"](spark, "/root/testdata/sf0.001")
+        assert len(found.collect()) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    final = plan.split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan and final.count("SortMergeJoin") == 2 and "Broadcast" not in final
